@@ -110,3 +110,38 @@ def id_filter(ids: DataFrame, column: str) -> tuple[Column, int]:
         return pd.Series(out)
 
     return F.col(column).isNull() | maybe(h), n
+
+
+def open_fs(uri: str):
+    """(pyarrow file system, path) of a URI of the shared folder, as Hadoop or Python spells it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri)
+
+
+class Sink:
+    """A file of the shared folder that appears whole or not at all: an attempt writes under a name
+    of its own and moves it into place, so retries and speculative copies don't mix."""
+
+    def __init__(self, uri: str, attempt: int):
+        self.fs, self.path = open_fs(uri)
+        self.own = f"{self.path}.{attempt}.tmp"
+        self.out = self.fs.open_output_stream(self.own)
+        self.at = 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.own, self.path)
+
+
+def slices(batches, rows: int = 512):
+    """Record batches cut so that only ``rows`` texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
