@@ -128,7 +128,7 @@ class Sink:
     def __init__(self, uri: str, attempt: int):
         self.fs, self.path = open_fs(uri)
         self.own = f"{self.path}.{attempt}.tmp"
-        self.out = self.fs.open_output_stream(self.own)
+        self.out = self.fs.open_output_stream(self.own, compression=None)
         self.at = 0
 
     def write(self, data: bytes) -> None:
