@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, simhash, token_files, topk, warc
+from . import byte_bpe, exact_dedup, packing, quality, simhash, token_files, topk, toxicity, warc
 from .common import table
 
 END_ID = 2
@@ -45,6 +45,24 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def _held_out(folds: int, held: int) -> str:
+    return f"coalesce(crc32(cast(doc_id as string)) % {folds} = {held}, false)"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), _held_out(5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), rows=f"not {held}")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.expr(held).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), _held_out(4, 2)
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), rows=f"not {held}")
+    scored = docs.select("doc_id", quality.scorer(spark, weights)(F.col("text")).alias("score"))
+    return scored.select("doc_id", F.expr(held).alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
