@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality, simhash, token_files, topk, toxicity, warc
+from . import byte_bpe, exact_dedup, packing, pii, quality, simhash, token_files, topk, toxicity, warc
 from .common import table
 
 END_ID = 2
@@ -63,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(held).alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
