@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, ope
         for b in slices(batches):
             for doc_id, ids in zip(b["doc_id"].to_pylist(), words.encode(b["text"].to_pylist()), strict=True):
                 packer.add(doc_id, np.append(ids, words.kind.type(end_id)))
-            yield from rows.take(50_000)
+            yield from rows.take(500_000 if keep_ids else 50_000)
         for i, pieces in enumerate(packer.left()):
             rows.window(pieces, part << 16 | i)
         yield from rows.take(0)
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, ope
                     if not free:
                         rows.window(held)
                         held, free = [], window
-            yield from rows.take(50_000)
+            yield from rows.take(500_000 if keep_ids else 50_000)
         for size in powers(window - free):
             now, need = [], size
             while need:

@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,29 +204,50 @@ def candidates(text: str | None) -> list[dict]:
     return out
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<start, kind, end, base>>): base spans and those that the method adds."""
-    spark = docs.sparkSession
-
+def _look(docs: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([candidates(t) for t in b["text"].to_pylist()], _SPAN)], names=["doc_id", "spans"])
 
-    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, _FOUND), "spans")
-    one = found.select("doc_id", F.explode("spans").alias("s"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, _FOUND)
+
+
+def learn(one: DataFrame) -> np.ndarray:
+    """The classifier's weights from all candidates, one a row (``doc_id``, ``s``)."""
     counts = one.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()  # at most 4 * 3**6 patterns
     trust = reliabilities([tuple(r) for r in sorted(counts)])
     taken = one.select("s.kind", "s.votes", "s.slots", F.xxhash64("doc_id", "s.start", "s.kind").alias("h")).orderBy("h", "kind", "votes").limit(SAMPLE).collect()
-    weights = spark.sparkContext.broadcast(classifier([(r["slots"], trust[r["kind"], r["votes"]]) for r in taken]))
+    return classifier([(r["slots"], trust[r["kind"], r["votes"]]) for r in taken])
+
+
+def _chosen(spans: list[dict], weights: np.ndarray) -> list[dict]:
+    kept = [s for s in spans if s["base"] or float(weights[s["slots"]].sum()) > 0]
+    return sorted(({k: s[k] for k in ("start", "kind", "end", "base")} for s in kept), key=lambda s: (s["start"], s["kind"]))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` masked; other columns stay and no text is shuffled."""
+    spark = docs.sparkSession
+    one = stash(_look(docs).select("doc_id", F.explode("spans").alias("s")), "spans")
+    weights = spark.sparkContext.broadcast(learn(one))
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return pd.Series([mask(t, _chosen(candidates(t), weights.value)) for t in texts], dtype=object)
+
+    return docs.withColumn("text", masked("text"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans array<struct<start, kind, end, base>>): base spans and those that the method adds."""
+    found = stash(_look(docs), "spans")
+    weights = docs.sparkSession.sparkContext.broadcast(learn(found.select("doc_id", F.explode("spans").alias("s"))))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for b in slices(batches):
-            rows = []
-            for spans in b["spans"].to_pylist():
-                kept = [s for s in spans if s["base"] or float(w[s["slots"]].sum()) > 0]
-                rows.append(sorted(({k: s[k] for k in ("start", "kind", "end", "base")} for s in kept), key=lambda s: (s["start"], s["kind"])))
+            rows = [_chosen(spans, w) for spans in b["spans"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return found.mapInArrow(decide, "doc_id long, spans array<struct<start: int, kind: int, end: int, base: boolean>>")
