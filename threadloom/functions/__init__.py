@@ -1,0 +1 @@
+"""Column functions; no UDF among them."""

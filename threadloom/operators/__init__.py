@@ -1,0 +1 @@
+"""Set-oriented operators over messages, blocks and search documents."""

@@ -1,0 +1 @@
+"""Readers and writers: tables, request formats, state files."""
