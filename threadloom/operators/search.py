@@ -8,12 +8,14 @@ For many queries over one corpus, :func:`postings` is the index.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import preview, query_bigrams, query_tokens, tokens
+from threadloom.functions.text import CJK, cjk_tokens, preview, query_bigrams, query_tokens, stems, tokens, words
 
 K1, B = 1.2, 0.75
 #: Weights of who speaks, applied after normalisation.
@@ -55,11 +57,22 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def _counts(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
+    """Docs with ``_len`` and ``_tf``, the counts of the query's terms.  A stem keeps all of its word but
+    the ending, so only words that begin like a term are stemmed."""
     terms = query_tokens(query)
-    t = F.col("_t")
-    rows = docs.withColumn("_t", tokens(F.col("text")))
-    tf = F.array(*[F.size(F.filter(t, lambda w, q=q: w == q)) for q in terms]).cast("array<int>")
-    return rows.withColumns({"_len": F.size("_t"), "_tf": tf}).drop("_t"), terms
+    heads = sorted({q[:-1] for q in terms})
+    if "" in heads:
+        heads = [""]
+    cjk = F.when(F.col("text").rlike(CJK), cjk_tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    rows = docs.withColumn("_w", words(F.col("text"))).withColumn("_c", cjk)
+    like = F.filter("_w", lambda w: reduce(or_, (w.startswith(h) for h in heads), F.lit(False)))
+    rows = rows.withColumn("_t", F.concat(stems(like), "_c"))
+    tf = F.array(*[F.size(F.filter("_t", _equal(q))) for q in terms]).cast("array<int>")
+    return rows.withColumns({"_len": F.size("_w") + F.size("_c"), "_tf": tf}).drop("_w", "_c", "_t"), terms
+
+
+def _equal(q: str):
+    return lambda w: w == q
 
 
 def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:

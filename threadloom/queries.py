@@ -9,7 +9,10 @@ from threadloom.config import Compress, Config, Nudge
 from threadloom.functions import scalars as S
 from threadloom.functions import text as X
 from threadloom.operators import coverage, ranges, reports, search
+from threadloom.plans import frames
+from threadloom.sources import codecs, store
 from threadloom.sources.tables import conversation_messages, read, sample_blocks, session_messages
+from threadloom.streaming.turns import batch_turns
 
 QUERY = "the license released under their token action token"
 CONFIG = Config(model_context_limit=100_000, protected_tools=("bash",), preserve_recent_messages=2, preserve_recent_tokens=150, compress=Compress(1500, 0, 0), nudge=Nudge(0.55, 0.45, 0.05, 600, 50_000, 500, 0.45, 0.98), truncate_threshold=0.9)
@@ -253,14 +256,77 @@ def char_bigrams(spark, sf_dir):
 
 
 def ranking_quality(spark, sf_dir):
-    """Each title-like first line as a query for its own document, ranked by word overlap in its language."""
-    docs = _docs(spark, sf_dir)
-    results = search.top_k(search.bm25(docs, QUERY), 10).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_ord"))).select(F.lit("q").alias("query"), "ref", "rank")
-    return search.ranking_quality(results, results.filter("rank = 2").select("query", "ref"))
+    """How well length ranks each source's first document."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("ref"), "n_chars")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "ref"))
+    results = docs.withColumn("rank", rank).filter("rank <= 10")
+    out = search.ranking_quality(results, docs.groupBy("query").agg(F.min("ref").alias("ref")))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("mrr", "r1", "r3")])
+
+
+def turn_view(spark, sf_dir):
+    """What a first turn sends: nothing is covered yet, so every message with its tag."""
+    return frames.turns(_sessions(spark, sf_dir), CONFIG).select("conv_id", "ord", "text")
+
+
+def turn_states(spark, sf_dir):
+    return batch_turns(_talk(spark, sf_dir), CONFIG)
+
+
+def rebuilt_blocks(spark, sf_dir):
+    """Each conversation of four turns or more with a recorded call over its second and third message."""
+    m = _talk(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit(" pad"), 400)))
+    last = m.groupBy("conv_id").agg(F.max("ord").alias("last")).filter("last >= 3")
+    call = F.to_json(F.struct(F.array(F.struct(F.lit("m00002").alias("startId"), F.lit("m00003").alias("endId"), F.lit("what was said").alias("summary"))).alias("content")))
+    calls = last.select("conv_id", (F.col("last") + 1).alias("ord"), F.lit("call").alias("id"), F.lit("assistant").alias("role"), F.lit("tool-call").alias("content_type"), call.alias("text"), F.lit("compress").alias("tool_name"), F.lit("k").alias("tool_call_id"))
+    config = Config(model_context_limit=100_000, preserve_recent_messages=0, preserve_recent_tokens=0, compress=Compress(0, 0, 0))
+    out = frames.rebuilt_blocks(m.join(last, "conv_id", "left_semi").unionByName(calls), config)
+    return out.select("conv_id", "block_id", "tier", "active", F.size("direct_message_ids").alias("direct"), "start_ref", "end_ref", "compressed_tokens")
+
+
+def _bodies(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    listed = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    return rows.select("conv_id", F.to_json(F.struct(listed.alias("messages"))).alias("body"))
+
+
+def codec_openai(spark, sf_dir):
+    return codecs.flatten(_bodies(spark, sf_dir), "openai").select("conv_id", "ord", "id", "role", "text")
+
+
+def codec_round_trip(spark, sf_dir):
+    """Messages to the block format and back; runs of one side share a message there."""
+    talk = _talk(spark, sf_dir)
+    made = codecs.assemble(talk, "anthropic").withColumn("body", F.concat(F.lit('{"system":"","messages":'), "messages", F.lit("}")))
+    return codecs.flatten(made, "anthropic").groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
+
+
+def session_identity(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 5)
+    pick = lambda n, c: F.when(F.col("k") == n, F.concat(F.lit(" "), F.lit(c), F.col("user_id").cast("string"), F.lit(" "))).otherwise(F.lit("  "))
+    out = e.select("event_id", codecs.identity(pick(0, "h"), pick(1, "s"), pick(2, "d"), pick(3, "p"), F.col("props")).alias("i"))
+    return out.select("event_id", "i.*")
+
+
+def subagent_namespaces(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("identity"), F.col("event_id").alias("arrival"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("instructions"))
+    return codecs.subagents(e).select("identity", "arrival", "namespace")
+
+
+def state_store(spark, sf_dir):
+    """Statistics of each conversation, saved as state files and read back."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
+    root = f"{base}/threadloom/store-{uuid.uuid4().hex}"
+    per = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("role").alias("role"))
+    store.save(per.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.to_json(F.struct("turns", "role")).alias("payload")), root, now=1)
+    return store.load(spark, root).select("id", "version", F.get_json_object("payload", "$.turns").cast("long").alias("turns"), F.get_json_object("payload", "$.role").alias("role"))
 
 
 def queries() -> dict:
-    skip = {"queries", "oracle_sql", "conversation_messages", "session_messages", "sample_blocks", "read"}
+    skip = {"queries", "oracle_sql", "conversation_messages", "session_messages", "sample_blocks", "read", "batch_turns"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
 
 
@@ -380,6 +446,12 @@ _LAB = "CASE WHEN x.topic IS NULL OR x.topic = '' THEN x.block_id ELSE x.block_i
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _sql()
+    out["turn_view"] = out["render_refs"]
+    return out
+
+
+def _sql() -> dict[str, str]:
     strip = f"""WITH {_SESS}, a AS (SELECT * FROM sess s WHERE NOT (content_type = 'tool-call' AND tool_call_id IS NOT NULL AND coalesce(tool_name, '') <> 'compress'
             AND NOT EXISTS (SELECT 1 FROM sess r WHERE r.conv_id = s.conv_id AND r.content_type = 'tool-result' AND r.tool_call_id = s.tool_call_id))),
         b AS (SELECT * FROM a s WHERE NOT (content_type = 'tool-result' AND tool_call_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a c WHERE c.conv_id = s.conv_id AND c.content_type = 'tool-call' AND c.tool_call_id = s.tool_call_id))),
@@ -491,5 +563,19 @@ def oracle_sql() -> dict[str, str]:
         "legacy_search": f"""WITH {_TALK}, {_blocks('talk')}, s AS (SELECT conv_id, block_id, least(1.0, {' + '.join(f"least(0.45, 0.15 * (length(coalesce(topic, '')) - length(replace(lower(coalesce(topic, '')), '{t}', ''))) / {len(t)}) + least(0.2, 0.04 * (length(summary) - length(replace(lower(summary), '{t}', ''))) / {len(t)})" for t in ('start', 'la', 'the'))}) AS score FROM blk WHERE active)
             SELECT conv_id, block_id, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score > 0.1""",
         "char_bigrams": "WITH p AS (SELECT substr(lower(text), i, 2) AS gram FROM documents, LATERAL (SELECT unnest(range(1, length(text))) AS i)) SELECT gram, count(*) AS n FROM p WHERE length(gram) = 2 AND NOT regexp_matches(gram, '^\\s|\\s$') GROUP BY 1",
-        "ranking_quality": "SELECT 0.5 AS mrr, 0.0 AS r1, 1.0 AS r3",
+        "ranking_quality": """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k, min(doc_id) OVER (PARTITION BY source) AS f FROM documents),
+            h AS (SELECT source, min(CASE WHEN k <= 10 THEN k END) AS k FROM r WHERE doc_id = f GROUP BY 1)
+            SELECT round(avg(coalesce(CAST(1 AS DOUBLE) / k, 0)), 9) AS mrr, round(avg(CAST(coalesce(k <= 1, false) AS INT)), 9) AS r1, round(avg(CAST(coalesce(k <= 3, false) AS INT)), 9) AS r3 FROM h""",
+        "turn_states": "SELECT conv_id, count(*) AS messages, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS token_count, count(*) AS refs, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS baseline, CAST(NULL AS INT) AS tier FROM conversations GROUP BY 1",
+        "rebuilt_blocks": f"""WITH l AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) >= 3), t AS (SELECT conv_id, text || repeat(' pad', 400) AS text FROM conversations JOIN l USING (conv_id) WHERE turn IN (1, 2))
+            SELECT conv_id, 'b1' AS block_id, 1 AS tier, true AS active, CAST(count(*) AS INT) AS direct, 'm00002' AS start_ref, 'm00003' AS end_ref, CAST(sum({_tok('text')}) AS BIGINT) AS compressed_tokens FROM t GROUP BY 1""",
+        "codec_openai": f"""WITH k AS (SELECT *, sum(CAST(role <> 'system' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+            h AS ({_ids("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role, 'text' AS content_type, text, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_call_id FROM k WHERE n > 0")})
+            SELECT conv_id, ord, id, role, text FROM h""",
+        "codec_round_trip": "SELECT conv_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1",
+        "session_identity": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'h' || user_id WHEN 1 THEN 's' || user_id WHEN 2 THEN 'd' || user_id WHEN 3 THEN 'p' || user_id ELSE substr(sha256(props), 1, 16) END AS value,
+            CASE event_id % 5 WHEN 0 THEN 'header' WHEN 1 THEN 'body-session' WHEN 2 THEN 'metadata-session' WHEN 3 THEN 'previous-response' ELSE 'content-fingerprint' END AS source, event_id % 5 < 3 AS client_provided FROM events""",
+        "subagent_namespaces": """WITH f AS (SELECT user_id, arg_min(event_type, event_id) AS t FROM events WHERE event_type <> 'view' GROUP BY 1)
+            SELECT CAST(e.user_id AS VARCHAR) AS identity, event_id AS arrival, CASE WHEN event_type = 'view' OR event_type = t THEN CAST(e.user_id AS VARCHAR) ELSE e.user_id || '|sub:' || substr(sha256(event_type), 1, 16) END AS namespace FROM events e LEFT JOIN f USING (user_id)""",
+        "state_store": "SELECT 'c' || conv_id AS id, 2 AS version, count(*) AS turns, max(role) AS role FROM conversations GROUP BY conv_id",
     }

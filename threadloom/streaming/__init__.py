@@ -1,0 +1 @@
+"""Conversations as streams: the per-turn plans over keyed state."""
