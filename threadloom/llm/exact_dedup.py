@@ -215,15 +215,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the copies; columns as they are.  Only rows that a bounded filter takes for
     members of a group with copies are shuffled; all others stay where they were read."""
     marks = stash(exact_dedup(docs, id_col, text_col).filter("not kept or group_size > 1").select("doc_id", "kept", "text_sha256"), "marks")
-    flags = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
-    flags = flags.filter("not _any or _n > 1")
-    maybe, _ = id_filter(flags.select("_id").filter("_id is not null").withColumnRenamed("_id", id_col), id_col)
-    sha = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256)
-    near = docs.filter(maybe).withColumn("_own", sha)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    near = near.join(flags, on, "left").filter("_any is null or _any")
+    # Names that no table of documents has.
+    me, own, sha, some = (f"threadloom dedup {x}" for x in ("id", "own", "sha", "some"))
+    flags = marks.groupBy(F.col("doc_id").alias(me), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(some), F.count("*").alias("n")).filter(~F.col(some) | (F.col("n") > 1)).drop("n")
+    maybe, _ = id_filter(flags.select(F.col(me).alias(id_col)).filter(F.col(id_col).isNotNull()), id_col)
+    near = docs.filter(maybe).withColumn(own, F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256))
+    near = near.join(flags, F.col(id_col).cast("long").eqNullSafe(F.col(me)) & (F.col(own) == F.col(sha)), "left")
     names = docs.columns
-    plain = near.filter("_any is null").select(names)
+    plain = near.filter(F.col(some).isNull()).select(names)
     # Rows repeated whole by id and text: one of each stays.
-    once = near.filter("_any").dropDuplicates(["_id", "_sha"]).select(names)
+    once = near.filter(F.col(some)).dropDuplicates([me, sha]).select(names)
     return docs.filter(~maybe).unionByName(plain).unionByName(once)

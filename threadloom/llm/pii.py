@@ -253,12 +253,16 @@ def find(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(decide, "doc_id long, spans array<struct<start: int, kind: int, end: int, base: boolean>>")
 
 
+def _of(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of what :func:`find` gives; counts are of base spans."""
     base = F.filter("spans", lambda s: s["base"])
     names = F.array(*map(F.lit, KINDS))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    n = {f"n_{k}": F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS)}
+    n = {f"n_{k}": F.size(F.filter(base, _of(i))).cast("long") for i, k in enumerate(KINDS)}
     return found.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 

@@ -180,8 +180,8 @@ def near_groups(docs: DataFrame, words: int = 5, run: int = RUN) -> DataFrame:
 def drop_near(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one document, that of the least doc_id, of each group; rows with a null doc_id
     stay.  A bounded filter keeps texts that can't be meant out of the shuffle."""
-    out = stash(near_groups(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct(), "near")
-    maybe, _ = id_filter(out.withColumnRenamed("_out", "doc_id"), "doc_id")
+    out = stash(near_groups(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias("threadloom near id")).distinct(), "near")
+    maybe, _ = id_filter(out.withColumnRenamed("threadloom near id", "doc_id"), "doc_id")
     near = docs.filter(maybe)
-    near = near.join(out, near["doc_id"] == out["_out"], "left_anti")
+    near = near.join(out, near["doc_id"] == out["threadloom near id"], "left_anti")
     return docs.filter(~maybe).unionByName(near)
