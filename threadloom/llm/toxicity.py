@@ -107,14 +107,30 @@ def evidence(text: str | None, scores: Scores, law: tuple[float, float]) -> tupl
 
 
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, tuple[float, float]]:
-    """(|z|, log-odds) by token from (token, toxic texts, other texts) and the classes' sizes."""
-    out = {}
-    for t, a, b in counts:
+    """(z, log-odds) by token from (token, toxic texts, other texts) and the classes' sizes.
+
+    Beginnings are judged by what the commonest whole word of the lexicon leaves unexplained of their
+    counts, so that one toxic word does not taint every word that begins like it.
+    """
+
+    def judge(a: int, b: int) -> tuple[float, float] | None:
+        if a < LEAST:
+            return None
         prior = PRIOR * (a + b) / (toxic + other)
         odds = math.log((a + prior) / max(0.5, toxic + PRIOR - a - prior)) - math.log((b + prior) / max(0.5, other + PRIOR - b - prior))
         z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-        if z >= LEAST_Z and a >= LEAST:
-            out[t] = (z, odds)
+        return (z, odds) if z >= LEAST_Z else None
+
+    out: dict[str, tuple[float, float]] = {}
+    explained: dict[str, tuple[int, int]] = {}
+    for t, a, b in counts:
+        if not t.endswith("*") and (found := judge(a, b)):
+            out[t] = found
+            explained |= {x: max((a, b), explained.get(x, (0, 0))) for x in tokens(t)[1:]}
+    for t, a, b in counts:
+        less = explained.get(t, (0, 0))
+        if t.endswith("*") and (found := judge(a - less[0], max(0, b - less[1]))):
+            out[t] = found
     return out
 
 
@@ -154,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: str =
     """A model from the labelled rows that the SQL predicate ``rows`` lets in."""
     spark = docs.sparkSession
     texts = stash(sample(docs, labels, label, rows, per_class).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))), "labelled")
-    sizes = {(r["y"], r["fold"] == 0): r["n"] for r in texts.groupBy("y", (F.col("fold") == 0).alias("fold")).agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["y"], r["held"]): r["n"] for r in texts.groupBy("y", (F.col("fold") == 0).alias("held")).agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get((1, False), 0), sizes.get((0, False), 0)
     if not toxic or not other:
         return Model({}, (1.0, 0.0), (1.0, 0.0))
