@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word pattern and the ranges that count as CJK in search.
@@ -59,6 +59,14 @@ def stems(words: Column) -> Column:
     return F.transform(out, lambda s: s["w"])
 
 
+def stem_rows(rows: DataFrame, column: str) -> DataFrame:
+    """A column of one word a row stemmed: a projection for each stage, all compiled."""
+    rows = rows.withColumn("_long", F.length(column) > 3)
+    for stage in _STAGES:
+        rows = rows.withColumn(column, F.when(F.col("_long"), stage(F.col(column))).otherwise(F.col(column)))
+    return rows.drop("_long")
+
+
 def stem(word: Column) -> Column:
     return stems(F.array(word))[0]
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, cjk_tokens, preview, query_bigrams, query_tokens, stems, tokens, words
+from threadloom.functions.text import CJK, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens, words
 
 K1, B = 1.2, 0.75
 #: Weights of who speaks, applied after normalisation.
@@ -52,7 +52,8 @@ def message_docs(messages: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(ref, term, tf, len): the index for many queries."""
-    rows = docs.select("ref", tokens(F.col("text")).alias("t")).select("ref", F.size("t").alias("len"), F.explode("t").alias("term"))
+    rows = docs.select("ref", tokens(F.col("text"), stemmed=False).alias("t"))
+    rows = stem_rows(rows.select("ref", F.size("t").alias("len"), F.explode("t").alias("term")), "term")
     return rows.groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
