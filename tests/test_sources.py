@@ -149,3 +149,26 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream_turns(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), CONFIG).writeStream.format("memory").queryName("turns").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("turns").collect())) == sorted(map(tuple, batch_turns(frame, CONFIG).collect()))
+
+
+def test_state_stream(spark, tmp_path):
+    frame = spark.createDataFrame([("a", '{"x": 1}')], "id string, payload string")
+    frame.write.parquet(f"{tmp_path}/in")
+    query = store.save_stream(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/out", f"{tmp_path}/cp")
+    query.processAllAvailable()
+    query.stop()
+    assert [r.id for r in store.load(spark, f"file://{tmp_path}/out").collect()] == ["a"]
+
+
+def test_defaults():
+    assert store.merge_defaults({"a": None, "n": {"x": 1}}, {"a": 2, "n": {"x": 0, "y": 3}}) == {"a": 2, "n": {"x": 1, "y": 3}}
+
+
+def test_counter_by_vocabulary(spark):
+    pt = pytest.importorskip("public_tokenizers")
+    from threadloom.functions.counters import LONGEST, bpe_counter
+    from pyspark.sql import functions as F
+
+    count = bpe_counter(pt.path("byte_bpe_50k.tiktoken"), pt.PATTERN)
+    rows = spark.createDataFrame([(1, "hello world"), (2, None), (3, "a" * (LONGEST + 4))], "i int, t string")
+    assert [r["n"] for r in rows.select("i", count(F.col("t")).alias("n")).orderBy("i").collect()] == [2, 0, (LONGEST + 4) // 4]

@@ -301,6 +301,11 @@ def codec_round_trip(spark, sf_dir):
     return codecs.flatten(made, "anthropic").groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
 
 
+def topic_heads(spark, sf_dir):
+    m = _talk(spark, sf_dir)
+    return m.select("conv_id", "ord", S.topic_fallback("text").alias("topic"), S.percent(F.length("text"), F.lit(5000)).alias("share"), S.occurrences(F.lower("text"), "en").alias("hits"))
+
+
 def session_identity(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 5)
     pick = lambda n, c: F.when(F.col("k") == n, F.concat(F.lit(" "), F.lit(c), F.col("user_id").cast("string"), F.lit(" "))).otherwise(F.lit("  "))
@@ -573,6 +578,8 @@ def _sql() -> dict[str, str]:
             h AS ({_ids("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role, 'text' AS content_type, text, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_call_id FROM k WHERE n > 0")})
             SELECT conv_id, ord, id, role, text FROM h""",
         "codec_round_trip": "SELECT conv_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1",
+        "topic_heads": f"""WITH {_TALK}, t AS (SELECT conv_id, ord, text, trim(regexp_replace(regexp_split_to_array(text, '[.\\n]')[1], '["''`]', '', 'g')) AS f FROM talk)
+            SELECT conv_id, ord, CASE WHEN length(f) > 30 THEN substr(f, 1, 30) || '…' ELSE f END AS topic, CAST(greatest(1, floor(length(text) / 50.0 + 0.5)) AS INT) AS share, CAST((length(text) - length(replace(lower(text), 'en', ''))) / 2 AS INT) AS hits FROM t""",
         "session_identity": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'h' || user_id WHEN 1 THEN 's' || user_id WHEN 2 THEN 'd' || user_id WHEN 3 THEN 'p' || user_id ELSE substr(sha256(props), 1, 16) END AS value,
             CASE event_id % 5 WHEN 0 THEN 'header' WHEN 1 THEN 'body-session' WHEN 2 THEN 'metadata-session' WHEN 3 THEN 'previous-response' ELSE 'content-fingerprint' END AS source, event_id % 5 < 3 AS client_provided FROM events""",
         "subagent_namespaces": """WITH f AS (SELECT user_id, arg_min(event_type, event_id) AS t FROM events WHERE event_type <> 'view' GROUP BY 1)

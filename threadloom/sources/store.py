@@ -56,6 +56,15 @@ def save(states: DataFrame, root: str, now: int, path_of=None) -> int:
     return last.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def save_stream(states: DataFrame, root: str, checkpoint: str, every: str = "1 second"):
+    """A running query that saves ``states(id, payload)`` as they come: rows of one interval are one
+    write for each id, stopping flushes what has come, and a restart goes on from the checkpoint."""
+    import time
+
+    write = lambda batch, _: save(batch, root, int(time.time() * 1000))
+    return states.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def load(spark: SparkSession, root: str, strict_names: bool = True) -> DataFrame:
     """(id, version, saved_at, payload JSON) of every sound file below ``root``."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
@@ -73,5 +82,11 @@ def load(spark: SparkSession, root: str, strict_names: bool = True) -> DataFrame
     return sound.drop("file")
 
 
+def merge_defaults(payload: dict, defaults: dict) -> dict:
+    """A payload of an older shape with what it lacks, group by group."""
+    out = defaults | {k: v for k, v in payload.items() if v is not None}
+    return out | {k: merge_defaults(payload[k], d) for k, d in defaults.items() if isinstance(d, dict) and isinstance(payload.get(k), dict)}
+
+
 def lookup(spark: SparkSession, root: str, state_id: str) -> DataFrame:
     return load(spark, root).filter(F.col("id") == state_id)
