@@ -38,12 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/threadloom/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hpath.getParent())
-    fs.deleteOnExit(hpath)
+    own = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/threadloom-{spark.sparkContext.applicationId}")
+    fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(own)
+    fs.deleteOnExit(own)  # the application's folder and all below it
+    hpath = jvm.org.apache.hadoop.fs.Path(own, f"{label}-{uuid.uuid4().hex}")
     return fs.makeQualified(hpath).toString()
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, open_fs, scratch, slices
+from .common import Sink, open_fs, scratch, slices, stash
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and a frame's magic.
 DICT_MAGIC = 0x184D2A5D
@@ -204,9 +204,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> list[str]:
         "url",
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"sha1": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
-    # Digests alone are summed up; only pages whose payload is not alone learn of a keep_id.
-    groups = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keep_id"))
-    chosen = rows.join(groups, ["sha1", "size"], "left")
+    # Digests alone are summed up, and only payloads that occur again get a keep_id.  The groups are
+    # written first: the join then has a bare exchange on both sides, so a hot payload can be split.
+    groups = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n"))
+    chosen = rows.join(stash(groups.filter("n > 1").drop("n"), "payloads"), ["sha1", "size"], "left")
     return [r.uri for r in chosen.mapInArrow(write, "uri string, records long").collect()]
 
 
