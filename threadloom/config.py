@@ -6,6 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 
+# The defaults below are fixed values.
+
+
 @dataclass(frozen=True)
 class Tiers:
     enabled: bool = True

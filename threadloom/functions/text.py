@@ -24,7 +24,7 @@ def _rule(w: Column, *cases: tuple[Column, Column]) -> Column:
     return out.otherwise(w)
 
 
-#: Suffix rules, stage by stage; within a stage the first that fits applies.
+#: Suffix rules, stage by stage; within a stage the first that fits applies.
 _STAGES = [
     lambda w: _rule(
         w,

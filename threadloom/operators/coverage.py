@@ -159,6 +159,7 @@ def render_tags(messages: DataFrame, refs: DataFrame, snapshot: DataFrame | None
         return messages
     rows = messages.join(refs.select("conv_id", F.col("raw_id").alias("id"), "ref"), ["conv_id", "id"], "left")
     rows = rows.join(snapshot.select("conv_id", "ref", "tokens"), ["conv_id", "ref"], "left") if snapshot is not None else rows.withColumn("tokens", F.lit(None).cast("long"))
+    # Fixed values of the message format: the tag.
     own = F.concat(F.lit('^<acp [^>]*>'), F.col("ref"), F.lit("</acp>\\n?"))
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), own, F.lit(""))
     n = F.coalesce("tokens", count_tokens(clean))

@@ -168,6 +168,7 @@ def truncation(messages: DataFrame, totals: DataFrame, config: Config, least: in
     ``totals(conv_id, token_count)``.  The largest go first; savings may be negative, so a cut is made
     while no shorter list of cuts was enough: the running *maximum* of the savings decides.
     """
+    # A fixed value of the message format.
     mark = "[truncated for context space]"
     limit = config.truncate_threshold * config.model_context_limit
     n, text = count_tokens("text"), F.coalesce("text", F.lit(""))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.scalars import cosine, occurrences
 from threadloom.functions.text import CJK, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens, words
 
+# The ranking's constants and weights.
 K1, B = 1.2, 0.75
 #: Weights of who speaks, applied after normalisation.
 ROLE_WEIGHTS = {"user": 1.5, "assistant": 1.0, "tool": 0.6, "block": 1.0}

@@ -9,6 +9,7 @@ from threadloom.config import Config
 
 from .state import BLOCKED, HEADER, Message, State, count_tokens, half_up, units
 
+#: Tools whose results never count as recent.
 _LEFT_OUT = ("decompress", "search_context", "read", "bash")
 
 

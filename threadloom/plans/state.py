@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import asdict, dataclass, field
 
+# Fixed values of the message format.
 BLOCKED = "BLOCKED"
 HEADER = "[Compressed conversation section]"
 PREFIX = "acp_summary_"

@@ -12,6 +12,7 @@ from .fold import assign_refs
 from .protection import batches, recent_zone, split_ranges
 from .state import BLOCKED, HEADER, PREFIX, Message, State, count_tokens, half_up, units
 
+# Fixed values of the message format: the truncation mark below, and the tag that ``render_node`` writes.
 #: What counts as blank at a text's ends.
 BLANKS = "\t\n\v\f\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 MARK = "[truncated for context space]"
