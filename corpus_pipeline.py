@@ -23,7 +23,7 @@ LEARN = "not coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.train(docs, table(spark, sf_dir, "labels"), rows=LEARN)
-    return docs.filter(quality.scorer(spark, weights)(F.col("text")) >= QUALITY)
+    return quality.keep(docs, weights, QUALITY)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,12 +237,13 @@ def test_pii(docs):
 def test_classifiers_on_edges(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) as toxic")
     w = quality.train(docs, labels)
-    scores = docs.select("doc_id", quality.scorer(spark, w)(docs["text"]).alias("s")).collect()
-    assert len(scores) == len(ROWS) and all(0 <= r["s"] <= 1 for r in scores)
+    scores = quality.score(docs, w).collect()
+    assert len(scores) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scores)
+    assert quality.keep(docs, w, 0.0).columns == docs.columns and quality.keep(docs, w, 0.0).count() == len(ROWS)
     scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scored)
     none = labels.limit(0)
-    assert {r["s"] for r in docs.select(quality.scorer(spark, quality.train(docs, none))(docs["text"]).alias("s")).collect()} == {0.5}
+    assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
 
 

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import claim, slices
 
 _SHIFT = {b: 0x100 + b for b in range(256)}
 #: White space as the pattern's engine has it (the Unicode property White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts where the pattern always cuts: before the last blank of a run and at its other white space.
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 
 
 def _field(number: int, payload: bytes) -> bytes:
@@ -79,7 +79,9 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One codec for each worker process, rank file and pattern."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ByteBpe(path, pattern)
-    return _loaded[path, pattern]
+    found = _loaded[path, pattern]
+    claim("bytes", found.memo, found.known)
+    return found
 
 
 class ByteBpe:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,3 +149,35 @@ def slices(batches, rows: int = 512):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+_memos: dict[str, tuple[dict, ...]] = {}
+
+
+def claim(name: str, *memos: dict) -> None:
+    """One operator's memos at a time in a worker process: those of others are emptied, and the memory goes back."""
+    if name not in _memos:
+        for held in _memos.values():
+            for memo in held:
+                memo.clear()
+        _memos.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _memos[name] = memos
+
+
+def by_text(docs: DataFrame, change, column: str = "text") -> DataFrame:
+    """``docs`` through ``change(texts) -> (keep, new texts)``, either of which may be None; rows stay in
+    place, other columns as they are, and few texts are Python objects at a time."""
+    at = docs.columns.index(column)
+
+    def run(batches):
+        step = change()
+        for b in slices(batches):
+            keep, new = step(b.column(at).to_pylist())
+            if new is not None:
+                b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            yield b if keep is None else b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import by_text, slices, stash
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
@@ -231,11 +230,10 @@ def redact(docs: DataFrame) -> DataFrame:
     one = stash(_look(docs).select("doc_id", F.explode("spans").alias("s")), "spans")
     weights = spark.sparkContext.broadcast(learn(one))
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, _chosen(candidates(t), weights.value)) for t in texts], dtype=object)
+    def change():
+        return lambda texts: (None, [mask(t, _chosen(candidates(t), weights.value)) for t in texts])
 
-    return docs.withColumn("text", masked("text"))
+    return by_text(docs, change)
 
 
 def find(docs: DataFrame) -> DataFrame:

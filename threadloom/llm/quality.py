@@ -20,18 +20,17 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import by_text, claim, slices, stash
 
 BITS = 18
 PER_CLASS = 6000
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 6
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMO = 300_000
+_MEMO = 100_000
 #: Marks of a chunk that repeats the one before, or the two before.
 _REPEATS = np.array([0xA5A5A5A5, 0x5A5A5A5B], np.uint32)
 
@@ -137,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: str
     """Weights from the labelled rows that the SQL predicate ``rows`` lets in."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _tokens)
         for b in slices(batches):
             made = [features(t) for t in b["text"].to_pylist()]
             cols = [b["doc_id"], b["y"], b["share"], pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))]
@@ -159,16 +159,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: str
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 
-def scorer(spark, weights: np.ndarray):
-    """A Column function: probability of label 1 for a text."""
-    shared = spark.sparkContext.broadcast(weights)
+def _probability(texts: list[str | None], w: np.ndarray) -> np.ndarray:
+    raw = np.array([float(w[at].astype(np.float64) @ x) for at, x in map(features, texts)])
+    return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        w, out = shared.value, np.empty(len(texts))
-        for i, t in enumerate(texts):
-            at, x = features(t)
-            out[i] = w[at].astype(np.float64) @ x
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return score
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, score): the probability of label 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _tokens)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(_probability(b["text"].to_pylist(), shared.value))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
+    """``docs`` that score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def change():
+        claim("quality", _tokens)
+        return lambda texts: (_probability(texts, shared.value) >= least, None)
+
+    return by_text(docs, change)

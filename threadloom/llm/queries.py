@@ -59,7 +59,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), _held_out(4, 2)
     weights = quality.train(docs, table(spark, sf_dir, "labels"), rows=f"not {held}")
-    scored = docs.select("doc_id", quality.scorer(spark, weights)(F.col("text")).alias("score"))
+    scored = quality.score(docs, weights)
     return scored.select("doc_id", F.expr(held).alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
 
 

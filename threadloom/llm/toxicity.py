@@ -38,7 +38,7 @@ STEMS = (3, 4, 5, 6, 7)
 PRIOR, LEAST, LEAST_Z, DRIFT, MOST = 200.0, 4, 4.0, -0.05, 6.0
 SIGNIFICANT = 0.05
 _STRIP = ".,;:!?\"'()[]{}<>|*#&%$-_"
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def tokens(word: str) -> list[str]:

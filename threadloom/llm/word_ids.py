@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
 
+from .common import claim
+
 #: Python splits at these, the tokenizer does not.
 _UNLIKE = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -19,7 +22,7 @@ _PLAIN = re.compile("[ \t\n\r\x0b\x0c]+")
 _PRE = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 _LATIN = "\u0250"
 #: Chunks remembered at most, and the longest of them in characters.
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 
 _loaded: dict[str, WordIds] = {}
 
@@ -28,7 +31,9 @@ def word_ids(path: str) -> WordIds:
     """One encoder for each worker process and file."""
     if path not in _loaded:
         _loaded[path] = WordIds(path)
-    return _loaded[path]
+    found = _loaded[path]
+    claim("words", found.memo, found.known)
+    return found
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,6 +66,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         # Here as in the file, \x1c to \x1f are no white space.
@@ -93,6 +99,6 @@ class WordIds:
             ids = known.get(p)
             if ids is None:
                 shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTES)
-                ids = known[p] = np.array([t.id for t in self.tok.model.tokenize(shown)], self.kind).tobytes()
+                ids = known[p] = array(self.code, [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
             out.append(ids)
         return b"".join(out)
