@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stash
-from .word_ids import word_ids
+from .word_ids import MEMO, word_ids
 
 WINDOW = 4096
 #: Ids of left windows for each task of the second round.
@@ -106,12 +106,12 @@ class _Rows:
             self.rows, self.size = [], 0
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, open_windows: int = 16, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, open_windows: int = 16, keep_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        words, rows = word_ids(tokenizer), _Rows(keep_ids, part << 32)
+        words, rows = word_ids(tokenizer, memo), _Rows(keep_ids, part << 32)
         packer = Packer(rows.window, window, open_windows)
         for b in slices(batches):
             for doc_id, ids in zip(b["doc_id"].to_pylist(), words.encode(b["text"].to_pylist()), strict=True):

@@ -11,6 +11,8 @@ from . import byte_bpe, exact_dedup, packing, pii, quality, simhash, token_files
 from .common import table
 
 END_ID = 2
+#: Chunks remembered by a worker that has no other operator's memos beside.
+_MEMO = 400_000
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +24,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, keep_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, keep_ids=False, memo=_MEMO)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, memo=_MEMO)
     return token_files.read_tokens(spark, manifest, digest=True)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Sink, open_fs, parts_for, scratch, slices
-from .word_ids import word_ids
+from .word_ids import MEMO, word_ids
 
 BLOCK_IDS = 1 << 16
 _TRAILER = struct.Struct("<QQQIB3x8s")
@@ -139,7 +139,7 @@ class TokenFile:
         self.file.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_mb: int = 64) -> list[tuple[str, int, int, int]]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_mb: int = 64, memo: int = MEMO) -> list[tuple[str, int, int, int]]:
     """Write ``docs(doc_id, text)`` and return the manifest: (uri, ids before it, documents, ids) by shard."""
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shard_mb: int = 6
     fs.create_dir(path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, words, out = TaskContext.get(), word_ids(tokenizer), None
+        task, words, out = TaskContext.get(), word_ids(tokenizer, memo), None
         uri = f"{folder}/shard-{task.partitionId():06d}.tok"
         for b in slices(batches):
             out = out or TokenWriter(Sink(uri, task.taskAttemptId()), max(words.size, end_id + 1))

@@ -27,11 +27,12 @@ MEMO, MEMO_CHARS = 200_000, 64
 _loaded: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One encoder for each worker process and file."""
+def word_ids(path: str, memo: int = MEMO) -> WordIds:
+    """One encoder for each worker process and file; ``memo`` chunks are remembered at most."""
     if path not in _loaded:
         _loaded[path] = WordIds(path)
     found = _loaded[path]
+    found.most = memo
     claim("words", found.memo, found.known)
     return found
 
@@ -66,6 +67,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.most = MEMO
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -78,11 +80,11 @@ class WordIds:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text in the narrowest unsigned kind; null counts as empty."""
         split = [[] if not t else [c for c in _PLAIN.split(t) if c] if _UNLIKE.search(t) else t.split() for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         memo, now = self.memo, {}
         new = [c for c in {c for chunks in split for c in chunks} if c not in memo]
-        if len(self.known) > MEMO:
+        if len(self.known) > self.most:
             self.known.clear()
         whole = [c for c in new if not (self.latin and len(c) <= MEMO_CHARS and max(c) < _LATIN and "<|" not in c)]
         done = set(whole)
