@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import exact_dedup, packing, pii, quality, simhash
+from threadloom.llm import exact_dedup, near, packing, pii, quality
 from threadloom.llm.common import stash, table
 from threadloom.llm.queries import END_ID
 
@@ -31,8 +31,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints as ``op8_simhash`` has them; the least doc_id of each group stays."""
-    return simhash.drop_near(docs, words=3)
+    """Five-word sets that share 0.8 of their union link; the least doc_id of each group stays."""
+    return near.drop_near(docs, words=5)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
