@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_filter, slices, stash
 from .components import components
@@ -179,9 +180,16 @@ def near_groups(docs: DataFrame, words: int = 5, run: int = RUN) -> DataFrame:
 
 def drop_near(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one document, that of the least doc_id, of each group; rows with a null doc_id
-    stay.  A bounded filter keeps texts that can't be meant out of the shuffle."""
-    out = stash(near_groups(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias("threadloom near id")).distinct(), "near")
-    maybe, _ = id_filter(out.withColumnRenamed("threadloom near id", "doc_id"), "doc_id")
-    near = docs.filter(maybe)
-    near = near.join(out, near["doc_id"] == out["threadloom near id"], "left_anti")
+    stay.  A row is meant by its doc_id and fingerprint, for a doc_id may name several texts.  A bounded
+    filter keeps texts that can't be meant out of the shuffle."""
+    me, own, fp = (f"threadloom near {x}" for x in ("id", "own", "fp"))
+    out = stash(near_groups(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias(me), F.col("fp").alias(fp)).distinct(), "near")
+    maybe, _ = id_filter(out.select(F.col(me).alias("doc_id")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.append_column(own, pa.array([fingerprint(t, words) for t in b["text"].to_pylist()], pa.int64()))
+
+    near = docs.filter(maybe).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    near = near.join(out, (F.col("doc_id").cast("long") == F.col(me)) & (F.col(own) == F.col(fp)), "left_anti").select(docs.columns)
     return docs.filter(~maybe).unionByName(near)
