@@ -22,8 +22,10 @@ LEARN = "not coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score ``QUALITY`` or more; all of them if no model can be trained, for want of
+    labelled documents of both classes."""
     weights = quality.train(docs, table(spark, sf_dir, "labels"), rows=LEARN)
-    return quality.keep(docs, weights, QUALITY)
+    return quality.keep(docs, weights, QUALITY) if weights.any() else docs
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
