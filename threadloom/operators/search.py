@@ -142,8 +142,14 @@ def search(docs: DataFrame, query: str, algorithm: str = "hybrid", k: int = 10,
     An unknown algorithm finds nothing."""
     if algorithm not in _ALGORITHMS:
         return docs.withColumns({"score": F.lit(0.0), "preview": F.lit("")}).limit(0)
-    scored = weigh_roles(_ALGORITHMS[algorithm](docs, query), weights)
-    return top_k(scored, k, least).withColumn("preview", preview(F.col("text"), query, preview_size))
+    said = docs.groupBy(F.col("ref").alias("_ref")).agg(F.max("doc_ord").alias("_ord"), F.max_by(F.struct("kind", "role"), "doc_ord").alias("_last"))
+    scored = _ALGORITHMS[algorithm](docs, query).select(F.col("doc_ord").alias("_own"), "ref", "score").join(said, F.col("ref").eqNullSafe(F.col("_ref")))
+    scored = weigh_roles(scored.select("_own", "_ref", "_ord", "score", "_last.kind", "_last.role"), weights)
+    top = top_k(scored, k, least, ("_own",)).select("_own", "_ref", "_ord", "score")
+    # Few rows meet the documents again, so texts stay where they are.
+    best = docs.join(F.broadcast(top), (F.col("doc_ord") == F.col("_ord")) & F.col("ref").eqNullSafe(F.col("_ref")))
+    best = best.orderBy(F.desc("score"), "_own").withColumn("doc_ord", F.col("_own"))
+    return best.select(*docs.columns, "score", preview(F.col("text"), query, preview_size).alias("preview"))
 
 
 def legacy_search(blocks: DataFrame, query: str) -> DataFrame:
