@@ -23,17 +23,52 @@ def test_topk_against_all_pairs(spark):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 6)]) for i in range(700)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)]  # ties
     rows += [(2000, None), (2001, [0.1, None, 0.2, 0.1, 0.1, 0.1]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, []), (None, [0.1] * 6), (2005, [0.5] * 3), (2050, [1e300] * 6)]
-    frame = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, part string").filter("vec_id <> 2050 or vec_id is null")
+    rows += [(3000, [1e9] * 6), (3001, [-1e9] * 6), (3002, [1e9, -1e9, 3e9, 0.0, 0.0, 0.5]), (3050, [1e200] * 6), (3051, [1.7e308] * 6)]
+    frame = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, part string")
     got = {}
     for r in topk.exact_topk(frame, frame.filter("vec_id % 50 = 0")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    good = {i: [int(v) for v in np.floor(256 * np.array(x))] for i, x in rows if i is not None and i != 2050 and x and all(v is not None and np.isfinite(v) for v in x)}
+    good = {i: [int(v) for v in np.floor(256 * np.array(x))] for i, x in rows if i is not None and x and all(v is not None and abs(v) < 1e308 for v in x)}
+    clip = lambda s: min(2**63 - 1, max(-(2**63), s))
     for q in [i for i in good if i % 50 == 0]:
         scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+        assert sorted(got.get(q, [])) == [(k + 1, i, clip(-s)) for k, (s, i) in enumerate(scored)]
     assert topk.exact_topk(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_topk_over_many_groups(spark, monkeypatch):
+    """Groups, slices and directory parts far smaller than in use: floors go from group to group."""
+    for name, n in (("SLICE", 3), ("DIRECTORY", 512)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(0, 0.05, (60, 5)) for c in rng.normal(0, 1, (10, 5))] + [np.ones((300, 5))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(frame, frame.filter("vec_id % 7 = 0"), k=4, group=96).collect())
+    y = np.floor(256 * x).astype(int)
+    want = []
+    for q in range(0, len(y), 7):
+        s = y @ y[q]
+        best = sorted((i for i in range(len(y)) if i != q), key=lambda i: (-s[i], i))[:4]
+        want += [(q, r + 1, i, s[i]) for r, i in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_prunes(spark):
+    """On the table itself, one group: most pairs are left before their last term."""
+    rows = spark.read.parquet(f"{MIDDLE}/embeddings.parquet").filter("embedding is not null").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.floor(256 * np.array([r["embedding"] for r in rows]))
+    at = np.flatnonzero(ids % 50 == 0)
+    stats = {}
+    group = topk.Group(ids, x.astype(np.int64))
+    out = {q: list(zip(v.tolist(), s.tolist(), strict=True)) for q, v, s in topk.search(ids[at], x[at].astype(np.int64), np.full(len(at), -np.inf), group, 5, stats)}
+    full = (x[at] @ x.T).astype(np.int64)
+    for i, q in enumerate(ids[at].tolist()):
+        best = sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-full[i, j], ids[j]))[:5]
+        assert out[q] == [(int(ids[j]), int(full[i, j])) for j in best]
+    assert stats["pairs"] == len(at) * len(ids)
+    assert stats["scored"] < 0.2 * stats["pairs"] and stats["terms"] < 0.6 * 64 * stats["pairs"]
+
+
 def test_warc(spark):
     pages = [(1, "u", "a"), (2, None, "a"), (3, "a b\r\nX: y", None), (4, "v", ""), (None, "w", "é😀" * 50_000), (5, "w", "é😀" * 50_000), (None, "n", "alone"), (6, "d", "dup"), (6, "d", "dup")]
     frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, payload string")
