@@ -35,26 +35,33 @@ RUN = 32
 _SHIFT = np.arange(32, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """As a signed 64-bit number."""
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; of the whole sequence if it is shorter."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(tokens)
-    n = max(1, len(tokens) - words + 1)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64, n)
+    return np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last.tolist(), strict=True)], np.uint64, len(last))
+
+
+def sign(own: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed 64-bit number; zero if there are none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)]
+    for at in range(0, len(own), 1 << 14):
+        part = own[at : at + (1 << 14)]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    return sign(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -159,17 +166,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(first[other])], names=["u", "v"])
 
 
+def links(prints: DataFrame, run: int = RUN) -> DataFrame:
+    """(u, v): pairs of distinct fingerprints ``prints(fp)`` at two or fewer differing bits, enough of them
+    that all which such pairs connect stay connected."""
+    meet = prints.mapInArrow(_variants, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    found = stash(meet.mapInArrow(_linker(run), "u long, v long"), "links")
+    pairs = found.filter("v is not null").distinct()
+    crowd = found.filter("v is null").select(F.col("u").alias("fp")).distinct()
+    stars = crowd.mapInArrow(_flips, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "u long, v long")
+    return pairs.union(stars)
+
+
 def near_groups(docs: DataFrame, words: int = 5, run: int = RUN) -> DataFrame:
     """(doc_id, fp long, component_id): fingerprints link at two or fewer differing bits, and
     component_id is the least doc_id that links reach."""
     prints = stash(fingerprints(docs, words), "fingerprints")
     distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    meet = distinct.select("fp").mapInArrow(_variants, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = stash(meet.mapInArrow(_linker(run), "u long, v long"), "links")
-    pairs = found.filter("v is not null").distinct()
-    crowd = found.filter("v is null").select(F.col("u").alias("fp")).distinct()
-    stars = crowd.mapInArrow(_flips, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "u long, v long")
-    roots = stash(components(pairs.union(stars)), "roots")
+    roots = stash(components(links(distinct.select("fp"), run)), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     names = stash(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     labels = stash(roots.join(names, "root").select(F.col("node").alias("fp"), "component_id"), "labels")
