@@ -6,8 +6,9 @@
    text costs an owner one code word per block.  The blocks are written to the shared folder.
 2. Owners: each owner of a fingerprint range gets the codes of its range alone, decodes them and
    answers every block with a bitmap of the fingerprints that other blocks hold too.
-3. Suspects (answered, or repeated inside their block) are verified: only their texts are
-   shuffled and compared in full bytes.  All other rows are final without moving their text.
+3. Suspects (answered, or repeated inside their block) are verified: bitmaps of their places in the
+   input's files let the next scan pick them, and only their texts are shuffled and compared in full
+   bytes.  All other rows are final without moving their text.
 
 Equal means identical after each run of ``[\\x20\\x09-\\x0D]`` became one space; a null text is
 empty.  A null doc_id orders last and is kept as it is.  If rows repeat text and doc_id, one of
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_filter, plan_bytes, shuffle_parts, stash, text_of
+from .common import FILE, ROW, discard, is_scan, located, place_marks, placed, plan_bytes, shuffle_parts, stash, text_of
 
 FP_BITS = 48
 #: Rows of a sender's block at most.
@@ -43,9 +44,11 @@ _BLOCK = T.StructType(
         T.StructField("counts", T.ArrayType(T.IntegerType())),
         T.StructField("ids", T.ArrayType(T.LongType())),
         T.StructField("digests", T.ArrayType(T.BinaryType())),
+        T.StructField("files", T.ArrayType(T.LongType())),
+        T.StructField("rows", T.ArrayType(T.LongType())),
     ]
 )
-_CLASS = "block long, digest binary, ids array<bigint>, suspect boolean"
+_CLASS = "block long, digest binary, ids array<bigint>, files array<bigint>, rows array<bigint>, suspect boolean"
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -83,7 +86,7 @@ def golomb_decode(code: bytes) -> np.ndarray:
 def _send(owners: int):
     width = -(-(1 << FP_BITS) // owners)
     schema = pa.schema(
-        [("block", pa.int64()), ("owner", pa.int32()), ("code", pa.binary()), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))]
+        [("block", pa.int64()), ("owner", pa.int32()), ("code", pa.binary()), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("files", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))]
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -102,7 +105,7 @@ def _send(owners: int):
         for seq, t in enumerate(blocks(batches)):
             t = t.sort_by("fp").combine_chunks()
             fp = t["fp"].to_numpy()
-            ids, digests = (t[c].chunk(0) for c in ("doc_id", "digest"))
+            lists = [t[c].chunk(0) for c in ("doc_id", "digest", "file", "row")]
             distinct, first = np.unique(fp, return_index=True)
             counts = np.diff(first, append=len(fp)).astype(np.int32)
             owner = distinct // width
@@ -119,8 +122,7 @@ def _send(owners: int):
                     pa.array([x[0] for x in out], pa.int32()),
                     pa.array([x[1] for x in out], pa.binary()),
                     pa.array([x[2] for x in out], pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(starts, ids),
-                    pa.ListArray.from_arrays(starts, digests),
+                    *[pa.ListArray.from_arrays(starts, x) for x in lists],
                 ],
                 schema=schema,
             )
@@ -143,43 +145,48 @@ def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             r = batch.slice(row, 1)
             counts = r["counts"].flatten().to_numpy()
-            ids, digests = r["ids"].flatten(), r["digests"].flatten()
+            digests, *lists = (r[c].flatten() for c in ("digests", "ids", "files", "rows"))
             bits = np.unpackbits(np.frombuffer(r["bitmap"][0].as_py(), np.uint8), count=len(counts)) == 1
             suspect = np.repeat(bits | (counts > 1), counts)
             block = r["block"][0].as_py()
-            single = np.flatnonzero(~suspect)
-            yield _classes(block, digests.take(pa.array(single)), np.arange(len(single) + 1), ids.take(pa.array(single)), False)
+            single = pa.array(np.flatnonzero(~suspect))
+            yield _classes(block, digests.take(single), np.arange(len(single) + 1), [x.take(single) for x in lists], False)
             many = np.flatnonzero(suspect)
             if len(many):
                 d = digests.take(pa.array(many))
                 order = pa.compute.sort_indices(d)
-                d, i = d.take(order), ids.take(pa.array(many)).take(order)
+                d, lists = d.take(order), [x.take(pa.array(many)).take(order) for x in lists]
                 new = np.flatnonzero(np.concatenate([[True], pa.compute.not_equal(d[1:], d[:-1]).to_numpy(zero_copy_only=False)]))
-                yield _classes(block, d.take(pa.array(new)), np.append(new, len(d)), i, True)
+                yield _classes(block, d.take(pa.array(new)), np.append(new, len(d)), lists, True)
 
 
-def _classes(block: int, digests: pa.Array, starts: np.ndarray, ids: pa.Array, suspect: bool) -> pa.RecordBatch:
+def _classes(block: int, digests: pa.Array, starts: np.ndarray, lists: list[pa.Array], suspect: bool) -> pa.RecordBatch:
     n = len(digests)
-    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), digests, lists, pa.array(np.full(n, suspect))], names=["block", "digest", "ids", "suspect"])
+    made = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in lists]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), digests, *made, pa.array(np.full(n, suspect))], names=["block", "digest", "ids", "files", "rows", "suspect"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+def _classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest, FILE, ROW) for every row; places of rows without copies are null."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
+    found = located(docs)
+    rows = found.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
     owners = max(shuffle_parts(spark), -(-plan_bytes(docs) // OWNER_BYTES))
     prints = rows.select(
         "doc_id",
         F.expr(f"xxhash64(norm) & {(1 << FP_BITS) - 1}L").alias("fp"),
         F.unhex(F.sha2("norm", 256)).alias("digest"),
+        "file",
+        "row",
     )
     blocks = stash(prints.mapInArrow(_send(owners), _BLOCK), "blocks")
     answers = blocks.select("block", "owner", "code").groupBy("owner").applyInArrow(_answer, "block long, owner int, bitmap binary")
     classes = stash(blocks.drop("code").join(answers, ["block", "owner"]).mapInArrow(_receive, _CLASS), "classes")
+    discard(blocks)
 
+    none = F.lit(None).cast("long")
     single = classes.filter(~F.col("suspect")).select(F.col("ids")[0].alias("doc_id"), "digest")
-    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", none.alias(FILE), none.alias(ROW))
 
     suspects = classes.filter("suspect")
     least = F.array_min("ids")
@@ -188,14 +195,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min(F.struct(least.isNull().alias("none"), least.alias("id"), "block")).alias("keep"), F.sum(F.size("ids")).cast("long").alias("group_size"))
         .select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.block").alias("keep_block"), "group_size")
     )
-    names = suspects.select(F.explode("ids").alias("doc_id"))
-    maybe, _ = id_filter(names.filter("doc_id is not null"), "doc_id")
-    wanted = names.distinct().select(F.col("doc_id").alias("wanted_id"))
-    texts = rows.filter(maybe)
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+    picked = placed(place_marks(suspects.select(F.explode(F.arrays_zip("files", "rows")).alias("p")).select(F.col("p.files").alias(FILE), F.col("p.rows").alias(ROW))))
     # Whole texts are the grouping key here: bytes are compared, and a hot text is summed up before it moves.
     verified = (
-        texts.groupBy("norm")
+        found.filter(picked)
+        .groupBy(F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
         .agg(F.count("*").alias("n"))
         .groupBy(F.unhex(F.sha2("norm", 256)).alias("digest"))
         .agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
@@ -205,24 +209,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pos = F.coalesce(F.array_position("ids", F.col("keep_id")).cast("int") - 1, F.lit(0))
     copies = (
         suspects.join(groups, "digest")
-        .select("digest", "keep_id", "group_size", F.when(F.col("block") == F.col("keep_block"), pos).otherwise(-1).alias("keep_at"), F.posexplode("ids").alias("at", "doc_id"))
-        .select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), "digest")
+        .select("digest", "keep_id", "group_size", F.when(F.col("block") == F.col("keep_block"), pos).otherwise(-1).alias("keep_at"), F.posexplode(F.arrays_zip("ids", "files", "rows")).alias("at", "p"))
+        .select(F.col("p.ids").alias("doc_id"), "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), "digest", F.col("p.files").alias(FILE), F.col("p.rows").alias(ROW))
     )
-    return single.unionByName(copies).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return single.unionByName(copies)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+    return _classify(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies; columns as they are.  Only rows that a bounded filter takes for
-    members of a group with copies are shuffled; all others stay where they were read."""
-    marks = stash(exact_dedup(docs, id_col, text_col).filter("not kept or group_size > 1").select("doc_id", "kept", "text_sha256"), "marks")
-    # Names that no table of documents has.
-    me, own, sha, some = (f"threadloom dedup {x}" for x in ("id", "own", "sha", "some"))
-    flags = marks.groupBy(F.col("doc_id").alias(me), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(some), F.count("*").alias("n")).filter(~F.col(some) | (F.col("n") > 1)).drop("n")
-    maybe, _ = id_filter(flags.select(F.col(me).alias(id_col)).filter(F.col(id_col).isNotNull()), id_col)
-    near = docs.filter(maybe).withColumn(own, F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256))
-    near = near.join(flags, F.col(id_col).cast("long").eqNullSafe(F.col(me)) & (F.col(own) == F.col(sha)), "left")
-    names = docs.columns
-    plain = near.filter(F.col(some).isNull()).select(names)
-    # Rows repeated whole by id and text: one of each stays.
-    once = near.filter(F.col(some)).dropDuplicates([me, sha]).select(names)
-    return docs.filter(~maybe).unionByName(plain).unionByName(once)
+    """``docs`` without the copies; columns as they are.  Dropped rows are meant by their places, so the
+    last pass is a scan with a filter and shuffles nothing."""
+    docs = docs if is_scan(docs) else stash(docs, "rows")
+    dropped = place_marks(_classify(docs, id_col, text_col).filter("not kept").select(FILE, ROW))
+    return located(docs).filter(~placed(dropped)).select(docs.columns)

@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import id_filter, slices, stash
+from .common import FILE, ROW, claim, discard, id_filter, is_scan, located, place_marks, placed, slices, stash
 from .components import components
 from .simhash import hashes, links, sign
 
@@ -37,7 +36,6 @@ EVERY, LEAST = 8, 4
 OFTEN_BITS, OFTEN = 1 << 25, 1 << 21
 #: Pairs of a node that meet in one task.
 SLICE = 512
-_ME, _NODE, _OWN, _SOME = (f"threadloom near {x}" for x in ("id", "node", "own", "some"))  # names that no table of documents has
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -75,6 +73,7 @@ def _often(docs: DataFrame, words: int) -> np.ndarray:
     """A bit field of ``OFTEN_BITS`` of the shingles found often; their numbers are hashes, so two of their parts are the probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near")
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, words) for t in b["text"].to_pylist()]))], names=["key"])
 
@@ -98,15 +97,16 @@ def _is_often(own: np.ndarray, field: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = "doc_id long, node long, seal long, n int, fp long, bits binary, prefix array<bigint>"
+_ROWS = f"doc_id long, `{FILE}` long, `{ROW}` long, node long, seal long, n int, fp long, bits binary, prefix array<bigint>"
 
 
 def _prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """``_ROWS`` of each row; node and seal are two hashes of the set, n is its size."""
+    """``_ROWS`` of each row of a located frame; node and seal are two hashes of the set, n is its size."""
     often = docs.sparkSession.sparkContext.broadcast(_often(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = often.value
+        claim("near")
         for b in slices(batches):
             marks, prints, sizes, bits, prefixes = [], [], [], [], []
             for t in b["text"].to_pylist():
@@ -119,10 +119,10 @@ def _prefixes(docs: DataFrame, words: int) -> DataFrame:
                 bits.append(_bitmap(own))
                 prefixes.append(own[np.argsort(_is_often(own, field), kind="stable")[: n - (4 * n + 4) // 5 + 1]])
             marks = np.array(marks, np.int64).reshape(-1, 2)
-            cols = [b["doc_id"], pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "seal", "n", "fp", "bits", "prefix"])
+            cols = [b["doc_id"], b[FILE], b[ROW], pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", FILE, ROW, "node", "seal", "n", "fp", "bits", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, ROW).mapInArrow(run, _ROWS)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _may(n: str, pos: str, m: str, at: str) -> Column:
 
 def _beside(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
     """``pairs`` with the columns of ``values(node, ...)`` for the node in ``side``; one that many pairs name meets them in slices."""
-    last = stash(pairs.groupBy(side).agg(F.expr(f"cast(count(*) div {SLICE} as int)").alias("last")), "slices")
+    last = pairs.groupBy(side).agg(F.expr(f"cast(count(*) div {SLICE} as int)").alias("last"))
     dealt = pairs.join(last, side).withColumn("slice", F.pmod(F.xxhash64("u", "v"), F.col("last") + 1).cast("int")).drop("last")
     own = values.withColumnRenamed("node", side).join(last, side).withColumn("slice", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
     return dealt.join(own, [side, "slice"]).drop("slice")
@@ -160,15 +160,20 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "n_u", "bits_u", "n_v", "bits_v").mapInArrow(run, "u long, v long")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """``pairs(u, v)`` whose whole sets link; only texts that pairs name are read into sets."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``pairs(u, v)`` whose whole sets link; of each node that they name, one text is read into its set."""
     pairs = stash(_bounded(pairs, nodes), "bounded")
-    needed = stash(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "needed")
-    maybe, _ = id_filter(rows.select("doc_id", "node").join(needed, "node").select("doc_id").filter("doc_id is not null"), "doc_id")
-    sets = stash(_sets(docs.filter(maybe), words).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    places = nodes.join(needed, "node").select("place.*")
+    # Written between, so that a task has one Python worker at a time.
+    texts = stash(located(docs).filter(placed(place_marks(places))).select("text"), "texts")
+    sets = stash(_sets(texts, words), "sets")
+    discard(texts)
     for side in "uv":
         pairs = _beside(pairs, side, sets.withColumnRenamed("own", f"own_{side}"))
-    return pairs.filter("9 * size(array_intersect(own_u, own_v)) >= 4 * (size(own_u) + size(own_v))").select("u", "v")
+    out = stash(pairs.filter("9 * size(array_intersect(own_u, own_v)) >= 4 * (size(own_u) + size(own_v))").select("u", "v"), "links")
+    discard(sets)
+    return out
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -189,9 +194,9 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, node) of each row, (node, root) of nodes in components of two or more)."""
-    rows = stash(_prefixes(docs, words), "prefixes")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.min("seal").alias("a"), F.max("seal").alias("b"))
+    """((doc_id, node, FILE, ROW) of each row, (node, root) of nodes in components of two or more); ``docs`` is a scan."""
+    rows = stash(_prefixes(located(docs), words), "prefixes")
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.min(F.struct(FILE, ROW)).alias("place"), F.min("seal").alias("a"), F.max("seal").alias("b"))
     nodes = stash(nodes, "nodes")
     if not nodes.filter("a <> b").isEmpty():
         raise ValueError("sets of one hash differ")
@@ -214,12 +219,12 @@ def near_groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     best = met.groupBy("node").agg(F.max_by("pnode", F.struct("keys", "pnode")).alias("pnode"))
 
     tried = stash(_ordered(alike.union(best), "a", "b"), "pairs")
-    sure = stash(_verified(docs, rows, nodes, tried, words), "links")
+    sure = _verified(docs, nodes, tried, words)
     roots = stash(components(sure), "roots")
 
     more = stash(_apart(_ordered(met, "node", "pnode").join(tried, ["u", "v"], "left_anti"), roots), "pairs")
     if not more.isEmpty():
-        sure = stash(sure.union(_verified(docs, rows, nodes, more, words)), "links")
+        sure = sure.union(_verified(docs, nodes, more, words))
         roots = stash(components(sure), "roots")
         tried = tried.union(more)
 
@@ -230,29 +235,18 @@ def near_groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
         last = _ordered(_pairs(held, held.select("key", *[F.col(c).alias(f"p{c}") for c in ("node", "n", "pos", "root")]), "node < pnode and root <> proot"), "node", "pnode")
         last = stash(last.join(tried, ["u", "v"], "left_anti"), "pairs")
         if not last.isEmpty():
-            roots = stash(components(stash(sure.union(_verified(docs, rows, nodes, last, words)), "links")), "roots")
-    return rows.select("doc_id", "node"), roots
+            roots = stash(components(sure.union(_verified(docs, nodes, last, words))), "roots")
+    discard(nodes, shared, index, pivots, met, named)
+    return rows.select("doc_id", "node", FILE, ROW), roots
 
 
 def drop_near(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one row, that of the least doc_id, of each component; rows with a null doc_id stay.
-    A row is meant by its doc_id and set, for a doc_id may name several texts."""
+    """``docs`` with one row, one of the least doc_id, of each component; rows with a null doc_id stay.
+    Dropped rows are meant by their places, so the last pass is a scan with a filter."""
+    docs = docs if is_scan(docs) else stash(docs, "rows")
     rows, roots = near_groups(docs, words)
-    rows = stash(rows.filter("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("times")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
-    me = F.struct("doc_id", "node")
-    groups = stash(rows.groupBy("root").agg(F.min(me).alias("keep"), F.sum("times").alias("size")).filter("size > 1"), "groups")
-    meant = rows.join(groups, "root").select(F.col("doc_id").alias(_ME), F.col("node").alias(_NODE), (me == F.col("keep")).alias(_SOME), "times")
-    meant = stash(meant.filter(~F.col(_SOME) | (F.col("times") > 1)).drop("times"), "near")
-    maybe, _ = id_filter(meant.select(F.col(_ME).alias("doc_id")), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.append_column(_OWN, pa.array([_node(shingles(t, words))[0] for t in b["text"].to_pylist()], pa.int64()))
-
-    near = docs.filter(maybe)
-    near = near.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(_OWN, T.LongType())]))
-    near = near.join(meant, (F.col("doc_id").cast("long") == F.col(_ME)) & (F.col(_OWN) == F.col(_NODE)), "left")
-    plain = near.filter(F.col(_SOME).isNull()).select(docs.columns)
-    # Rows of one doc_id and one set: one of them stays.
-    once = near.filter(F.col(_SOME)).dropDuplicates([_ME, _NODE]).select(docs.columns)
-    return docs.filter(~maybe).unionByName(plain).unionByName(once)
+    rows = stash(rows.filter("doc_id is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
+    me = F.struct("doc_id", FILE, ROW)
+    groups = stash(rows.groupBy("root").agg(F.min(me).alias("keep"), F.count("*").alias("size")).filter("size > 1").drop("size"), "groups")
+    dropped = place_marks(rows.join(groups, "root").filter(me != F.col("keep")).select(FILE, ROW))
+    return located(docs).filter(~placed(dropped)).select(docs.columns)

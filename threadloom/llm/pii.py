@@ -9,6 +9,8 @@ span classifier on hashed features (shape, neighbours, votes) from at most ``SAM
 the first by a hash of their place; the classifier alone decides about spans that aren't base.
 Base spans always stay; an added span never overlaps another of its kind.
 
+Estimates start from few prior counts that never grow, so with the data they go to what the votes say.
+
 Null and empty texts have no spans; repeated rows and null doc_ids are like any others; offsets
 are code points, ends exclusive.  Every pattern is linear in the text's length.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, slices, stash
+from .common import by_text, claim, slices, stash
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
@@ -98,10 +101,19 @@ def loose_spans(text: str, base: list[tuple[int, int, int]], failed: list[tuple[
         more += [(m.start(), 0, m.end()) for m in _WRITTEN.finditer(text)]
     if "[.]" in text:
         more += [(m.start(), 1, m.end()) for m in _QUADS.finditer(text)]
-    out, taken = [], sorted((a, b) for a, _, b in base)
+    starts, ends = [], []  # of the base spans' union, in order
+    for a, b in sorted((a, b) for a, _, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out, last = [], 0
     for a, k, b in sorted(more):
-        if all(b <= x or a >= y for x, y in taken) and all(b <= x or a >= y for x, _, y in out[-1:]):
+        i = bisect_right(ends, a)
+        if a >= last and (i == len(ends) or starts[i] >= b):
             out.append((a, k, b))
+            last = b
     return out
 
 
@@ -139,38 +151,44 @@ def slots(text: str, a: int, kind: int, b: int, v: list[int], near: list[str]) -
     return [0, *sorted({1 + zlib.crc32(n.encode("utf-8", "surrogatepass")) % (DIMS - 1) for n in names})]
 
 
-def reliabilities(counts: list[tuple[int, str, int]], rounds: int = 100) -> dict[tuple[int, str], float]:
-    """Posterior of each (kind, votes) pattern by EM over their counts.
-
-    For each kind and labeler: chances of the three votes given either truth, with a prior that
-    trusts votes moderately and the strict pattern most; a kind's share of true spans is free.
-    """
+#: Prior counts of the votes none, for and against of a labeler, given that a span is false or true: votes are
+#: trusted moderately, the strict pattern most.  They don't grow with the data, which soon outweigh them.
+_PRIOR = np.array([[4.0, 1.0, 4.0], [4.0, 4.0, 1.0]])
+_STRICT = np.array([[30.0, 0.3, 1.0], [2.0, 30.0, 0.3]])
+
+
+def estimate(patterns: list[str], n: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posterior of each vote pattern, chances of each vote by labeler and truth, share of true spans) of
+    one kind by expectation-maximisation over the patterns' counts ``n``, from few prior counts."""
+    x = np.array([[int(c) for c in p] for p in patterns])
+    prior = np.repeat(_PRIOR[None], LABELERS, 0)  # labeler, truth, vote
+    prior[0] = _STRICT
+    q = np.where(x[:, 0] == 1, 0.95, 0.3)
+    for _ in range(rounds):
+        table = prior.copy()
+        for i in range(LABELERS):
+            for vote in range(3):
+                here = x[:, i] == vote
+                table[i, 0, vote] += (n * (1 - q))[here].sum()
+                table[i, 1, vote] += (n * q)[here].sum()
+        table /= table.sum(axis=2, keepdims=True)
+        truth = float((n * q).sum() + 1) / float(n.sum() + 2)
+        log = np.log(table)[np.arange(LABELERS), :, x].sum(axis=1) + np.log([1 - truth, truth])
+        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        done = np.abs(new - q).max() < 1e-9
+        q = new
+        if done:
+            break
+    return q, table, truth
+
+
+def reliabilities(counts: list[tuple[int, str, int]]) -> dict[tuple[int, str], float]:
+    """Posterior of each (kind, votes) pattern from (kind, votes, count)."""
     out = {}
-    for kind in {k for k, _, _ in counts}:
-        rows = [(p, n) for k, p, n in counts if k == kind]
-        x = np.array([[int(c) for c in p] for p, _ in rows])
-        n = np.array([n for _, n in rows], float)
-        prior = np.empty((LABELERS, 2, 3))  # labeler, truth, vote
-        prior[:, 0] = [4.0, 1.0, 4.0]
-        prior[:, 1] = [4.0, 4.0, 1.0]
-        prior[0, 0], prior[0, 1] = [30.0, 0.3, 1.0], [2.0, 30.0, 0.3]
-        prior *= 1 + 0.02 * n.sum()
-        truth, q = 0.5, np.where(x[:, 0] == 1, 0.95, 0.3)
-        for _ in range(rounds):
-            table = prior.copy()
-            for i in range(LABELERS):
-                for vote in range(3):
-                    here = x[:, i] == vote
-                    table[i, 0, vote] += (n * (1 - q))[here].sum()
-                    table[i, 1, vote] += (n * q)[here].sum()
-            table /= table.sum(axis=2, keepdims=True)
-            truth = float((n * q).sum() + 1) / float(n.sum() + 2)
-            log = np.log(table)[np.arange(LABELERS), :, x].sum(axis=1) + np.log([1 - truth, truth])
-            new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-            if np.abs(new - q).max() < 1e-9:
-                break
-            q = new
-        out |= {(kind, p): float(v) for (p, _), v in zip(rows, q, strict=True)}
+    for kind in sorted({k for k, _, _ in counts}):
+        patterns, n = zip(*[(p, c) for k, p, c in counts if k == kind], strict=True)
+        q, _, _ = estimate(list(patterns), np.array(n, float))
+        out |= {(kind, p): float(v) for p, v in zip(patterns, q, strict=True)}
     return out
 
 
@@ -205,6 +223,7 @@ def candidates(text: str | None) -> list[dict]:
 
 def _look(docs: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([candidates(t) for t in b["text"].to_pylist()], _SPAN)], names=["doc_id", "spans"])
 

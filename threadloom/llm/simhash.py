@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import id_filter, slices, stash
+from .common import FILE, ROW, claim, is_scan, located, place_marks, placed, slices, stash
 from .components import components
 
 SEED = 42
@@ -65,13 +64,15 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fp long)."""
+    """(doc_id, fp long), with the rows' places if ``docs`` has them."""
+    places = [c for c in (FILE, ROW) if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near")
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t, words) for t in b["text"].to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t, words) for t in b["text"].to_pylist()], pa.int64()), *[b[c] for c in places]], names=["doc_id", "fp", *places])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *places).mapInArrow(run, "doc_id long, fp long" + "".join(f", `{c}` long" for c in places))
 
 
 def _pairs(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -188,21 +189,15 @@ def near_groups(docs: DataFrame, words: int = 5, run: int = RUN) -> DataFrame:
     labels = stash(roots.join(names, "root").select(F.col("node").alias("fp"), "component_id"), "labels")
     labelled = distinct.join(labels.withColumn("linked", F.lit(True)), "fp", "left")
     classes = stash(labelled.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *prints.columns[2:])
 
 
 def drop_near(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one document, that of the least doc_id, of each group; rows with a null doc_id
-    stay.  A row is meant by its doc_id and fingerprint, for a doc_id may name several texts.  A bounded
-    filter keeps texts that can't be meant out of the shuffle."""
-    me, own, fp = (f"threadloom near {x}" for x in ("id", "own", "fp"))
-    out = stash(near_groups(docs, words).filter("doc_id <> component_id").select(F.col("doc_id").alias(me), F.col("fp").alias(fp)).distinct(), "near")
-    maybe, _ = id_filter(out.select(F.col(me).alias("doc_id")), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.append_column(own, pa.array([fingerprint(t, words) for t in b["text"].to_pylist()], pa.int64()))
-
-    near = docs.filter(maybe).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
-    near = near.join(out, (F.col("doc_id").cast("long") == F.col(me)) & (F.col(own) == F.col(fp)), "left_anti").select(docs.columns)
-    return docs.filter(~maybe).unionByName(near)
+    """``docs`` with one row, one of the least doc_id, of each group; rows with a null doc_id stay.  Dropped
+    rows are meant by their places, so the last pass is a scan with a filter."""
+    docs = docs if is_scan(docs) else stash(docs, "rows")
+    rows = stash(near_groups(located(docs), words).filter("doc_id is not null"), "rows")
+    me = F.struct("doc_id", FILE, ROW)
+    groups = stash(rows.groupBy("component_id").agg(F.min(me).alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
+    dropped = place_marks(rows.join(groups, "component_id").filter(me != F.col("keep")).select(FILE, ROW))
+    return located(docs).filter(~placed(dropped)).select(docs.columns)
