@@ -255,7 +255,8 @@ SLICE_BYTES = 8 << 20
 
 
 def slices(batches, rows: int = 512, most: int = SLICE_BYTES):
-    """Record batches cut so that only ``rows`` rows, or ``most`` bytes of texts, are Python objects at a time."""
+    """Record batches cut so that only ``rows`` rows, or ``most`` bytes of texts, are Python objects at a time.
+    After the last the worker gives back the memory that it no longer uses, as it may idle beside others."""
     for b in batches:
         sizes = [pa.compute.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in b.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)]
         ends = np.cumsum(sum(s.astype(np.int64) for s in sizes)) if sizes else np.zeros(b.num_rows, np.int64)
@@ -265,6 +266,14 @@ def slices(batches, rows: int = 512, most: int = SLICE_BYTES):
             stop = max(at + 1, min(at + rows, b.num_rows, int(np.searchsorted(ends, held + most, "right"))))
             yield b.slice(at, stop - at)
             at = stop
+    tidy()
+
+
+def tidy() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _memos: dict[str, tuple[dict, ...]] = {}
@@ -277,9 +286,7 @@ def claim(name: str, *memos: dict) -> None:
             for memo in held:
                 memo.clear()
         _memos.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        tidy()
     _memos[name] = memos
 
 

@@ -185,8 +185,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _pairs(index: DataFrame, met: DataFrame, wanted: str) -> DataFrame:
-    pairs = index.join(met, "key").filter(wanted).filter(_may("n", "pos", "pn", "ppos"))
-    return pairs.select("node", "pnode")
+    return index.join(met, "key").filter(wanted).filter(_may("n", "pos", "pn", "ppos"))
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -212,11 +211,17 @@ def near_groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     shared = stash(index.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "keys")
     maybe, _ = id_filter(shared, "key")
     index = stash(index.filter(maybe).dropDuplicates(["node", "key"]), "index")
-    me = F.struct("node", "n", "pos")
-    pivots = index.groupBy("key").agg(F.min(me).alias("a"), F.max(me).alias("b")).filter("a.node <> b.node").select("key", F.explode(F.array("a", "b")).alias("p"))
-    pivots = stash(pivots.select("key", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("node", "n", "pos")]), "pivots")
-    met = stash(_pairs(index, pivots, "node <> pnode").groupBy("node", "pnode").agg(F.count("*").alias("keys")), "met")
-    best = met.groupBy("node").agg(F.max_by("pnode", F.struct("keys", "pnode")).alias("pnode"))
+    # A pivot is the member whose keys are shared most: the least edited of near copies, which most of them link to;
+    # a second one is the member of the least hash.
+    times = index.groupBy("key").agg(F.count("*").alias("times"))
+    middle = index.join(times, "key").groupBy("node").agg((F.sum("times") / F.first("n")).alias("middle"))
+    index = stash(index.join(middle, "node"), "members")
+    me = F.struct("middle", "node", "n", "pos")
+    pivots = index.groupBy("key").agg(F.max(me).alias("a"), F.min_by(me, F.xxhash64("node", "key")).alias("b"), F.min("node").alias("least"), F.max("node").alias("most"))
+    pivots = pivots.filter("least <> most").select("key", F.explode(F.array("a", "b")).alias("p")).distinct()
+    pivots = stash(pivots.select("key", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("node", "n", "pos", "middle")]), "pivots")
+    met = stash(_pairs(index, pivots, "node <> pnode").groupBy("node", "pnode").agg(F.count("*").alias("keys"), F.max("pmiddle").alias("middle")), "met")
+    best = met.groupBy("node").agg(F.max_by("pnode", F.struct("keys", "middle", "pnode")).alias("pnode"))
 
     tried = stash(_ordered(alike.union(best), "a", "b"), "pairs")
     sure = _verified(docs, nodes, tried, words)

@@ -2,10 +2,11 @@
 
 Features of a whole text: its tokens (words in lower case, runs of other signs), each token pair,
 and marks of chunks that repeat the one or two before; all hashed into ``2**BITS`` slots and weighed by
-``1 + ln(count)``, scaled to length one.  Training takes ``per_class`` labelled rows of each class
-at most, the first by a hash of their doc_id: a documented bound, so one task can make the passes
-in a fixed order.  A part of the sample is held back to calibrate the intercept and slope.
-A score is one sparse dot product a document.
+``1 + ln(count)``, scaled to length one.  Training takes ``per_class`` labelled doc_ids of each class
+at most, the first by a hash, and of these the first that have ``FEATURES`` features together: documented
+bounds, so one task can make the passes in a fixed order.  A doc_id that several rows share is one text in
+training, the least of them; one with labels of both classes is left out.  A part of the sample is
+held back to calibrate the intercept and slope.  A score is one sparse dot product a document.
 
 Null and empty texts have the bias alone.  Rows with null doc_id are scored like others.  Without
 labels of both classes every score is 0.5.
@@ -28,6 +29,8 @@ from .common import by_text, claim, slices, stash
 
 BITS = 18
 PER_CLASS = 6000
+#: Features of the sample at most, eight bytes each in the task that trains.
+FEATURES = 1 << 25
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.05, 6
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO = 100_000
@@ -121,15 +124,27 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], shares: tuple[float, f
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y, share) of up to ``per_class`` labelled rows of each class; ``share`` is the number
-    of rows that each stands for.  The sampled ids are bounded, so they are broadcast."""
-    known = labels.filter(train).filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
+    """(doc_id, text, y, share) of up to ``per_class`` labelled doc_ids of each class, one row each; ``share``
+    is the number of ids that each stands for.  The sampled ids are bounded, so they are broadcast."""
+    known = labels.filter(train).filter(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("most"))
+    known = known.filter("_id is not null and y = most").drop("most")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ordered = [known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    picked = ordered[0].union(ordered[1]).dropDuplicates(["_id"])
+    picked = ordered[0].union(ordered[1])
     share = F.when(F.col("y") == 1, F.lit(max(1.0, sizes.get(1, 0) / per_class))).otherwise(F.lit(max(1.0, sizes.get(0, 0) / per_class)))
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return texts.select("doc_id", "text", "y", share.alias("share"))
+    # The least text is found in each task before anything moves, however many rows one id has.
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y", share.alias("share"))
+
+
+def _within(made: DataFrame, most: int) -> DataFrame:
+    """The first rows by a hash of their doc_id that have ``most`` features together; a row a doc_id of the sample."""
+    order = sorted(made.select("doc_id", F.size("at").alias("n")).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    sums = np.cumsum([r["n"] for r in order]) if order else np.empty(0)
+    if not len(sums) or sums[-1] <= most:
+        return made
+    kept = made.sparkSession.createDataFrame([(r["doc_id"],) for r, n in zip(order, sums, strict=True) if n <= most], "doc_id long")
+    return made.join(F.broadcast(kept), "doc_id", "left_semi")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: str = "true", per_class: int = PER_CLASS) -> np.ndarray:
@@ -155,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: str
 
     picked = sample(docs, labels, label, rows, per_class)
     made = stash(picked.mapInArrow(prepare, "doc_id long, y int, share double, at array<int>, x array<float>"), "features")
-    got = made.repartition(1).mapInArrow(fit, "w binary").collect()  # the sample is bounded
+    got = _within(made, FEATURES).repartition(1).mapInArrow(fit, "w binary").collect()  # the sample is bounded
     return np.frombuffer(got[0]["w"], np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 

@@ -1,18 +1,20 @@
 """Toxic passages by maximum-scoring segments.
 
 A token is a word in lower case; it is looked up whole and by its beginnings of a few lengths, and
-scores by the most significant of these.  Scores are log-odds of the toxic against the other
-labelled texts under a Dirichlet prior from both together, in document counts; unknown tokens get a
-small negative score, so that a random text drifts down.  One linear scan finds all maximal
-scoring segments of a text, however many.  The best segment of texts that aren't toxic follows an
-extreme-value law in its excess over ``ln n``; its scale and place are fitted on held-back rows, which
-gives each segment a p-value.  A text's score is a logistic curve over the evidence of its best
-segment and of all significant ones.
+scores by the most significant of these, for or against.  Scores are log-odds of the toxic against
+the other labelled texts under a Dirichlet prior from both together, in document counts, drawn towards
+zero by ``SHRINK`` of their standard errors; what is left is positive for toxic tokens and negative for
+others, and a token without evidence has ``DRIFT``, so that a random text drifts down.  One linear
+scan finds all maximal scoring segments of a text, however many.  The best segment of texts that
+aren't toxic follows an extreme-value law in its excess over ``ln n``; its scale and place are fitted
+on held-back rows, which gives each segment a p-value.  A text's score is a logistic curve over the
+evidence of its best segment and of all significant ones.
 
 Training reads ``per_class`` labelled rows of each class at most (the first by a hash of their
-doc_id), two thirds for the lexicon of at most ``LEXICON`` entries, a third for the calibration.  A
-text without positive tokens, null and empty ones included, has the curve's lowest score.  Without
-labels of both classes every score is 0.  Repeated rows and null doc_ids are scored like others.
+doc_id), two thirds for the lexicon, a third for the calibration.  All tokens of these rows are counted;
+what is drawn to zero is no entry, so the lexicon is bounded by the sample.  A text without
+positive tokens, null and empty ones included, has the curve's lowest score.  Without labels of both
+classes every score is 0.  Repeated rows and null doc_ids are scored like others.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from .common import slices, stash
 from .quality import platt, sample
 
 PER_CLASS = 6000
-LEXICON = 20_000
 #: Beginnings of words that count as tokens besides the words.
 STEMS = (3, 4, 5, 6, 7)
-#: Weight of the prior, least toxic texts of an entry, least significance, score of other tokens, highest score.
-PRIOR, LEAST, LEAST_Z, DRIFT, MOST = 200.0, 4, 4.0, -0.05, 6.0
+#: Weight of the prior in texts, standard errors that log-odds are drawn in by, score of tokens without evidence.
+PRIOR, SHRINK, DRIFT = 200.0, 3.0, -0.05
+#: Beginnings in so few texts must be telling before words explain them, too.
+RARE = 8
 SIGNIFICANT = 0.05
 _STRIP = ".,;:!?\"'()[]{}<>|*#&%$-_"
 _MEMO = 100_000
@@ -56,7 +59,7 @@ class Scores(dict):
         if len(self) > _MEMO:
             self.clear()
         found = [self.lexicon[t] for t in tokens(chunk.lower().strip(_STRIP)) if t in self.lexicon]
-        out = min(MOST, max(found)[1]) if found else DRIFT
+        out = max(found, key=lambda e: (abs(e[0]), e))[1] if found else DRIFT
         if len(chunk) <= 64:
             self[chunk] = out
         return out
@@ -107,29 +110,33 @@ def evidence(text: str | None, scores: Scores, law: tuple[float, float]) -> tupl
 
 
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, tuple[float, float]]:
-    """(z, log-odds) by token from (token, toxic texts, other texts) and the classes' sizes.
+    """(z, score) by token from (token, toxic texts, other texts) and the classes' sizes.
 
-    Beginnings are judged by what the commonest whole word of the lexicon leaves unexplained of their
-    counts, so that one toxic word does not taint every word that begins like it.
+    Beginnings are judged by what the commonest toxic whole word of the lexicon leaves unexplained of
+    their counts, so that one toxic word does not taint every word that begins like it.
     """
 
     def judge(a: int, b: int) -> tuple[float, float] | None:
-        if a < LEAST:
+        if a + b == 0:
             return None
         prior = PRIOR * (a + b) / (toxic + other)
         odds = math.log((a + prior) / max(0.5, toxic + PRIOR - a - prior)) - math.log((b + prior) / max(0.5, other + PRIOR - b - prior))
-        z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-        return (z, odds) if z >= LEAST_Z else None
+        error = math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        left = abs(odds) - SHRINK * error
+        if left <= 0:
+            return None
+        return odds / error, left if odds > 0 else min(DRIFT, -left)
 
     out: dict[str, tuple[float, float]] = {}
     explained: dict[str, tuple[int, int]] = {}
     for t, a, b in counts:
         if not t.endswith("*") and (found := judge(a, b)):
             out[t] = found
-            explained |= {x: max((a, b), explained.get(x, (0, 0))) for x in tokens(t)[1:]}
+            if found[1] > 0:
+                explained |= {x: max((a, b), explained.get(x, (0, 0))) for x in tokens(t)[1:]}
     for t, a, b in counts:
         less = explained.get(t, (0, 0))
-        if t.endswith("*") and (found := judge(a - less[0], max(0, b - less[1]))):
+        if t.endswith("*") and (a + b > RARE or judge(a, b)) and (found := judge(a - less[0], max(0, b - less[1]))):
             out[t] = found
     return out
 
@@ -194,11 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: str =
         yield flush()
 
     counts = (
-        texts.filter("fold <> 0").mapInArrow(count, "token string, other long, toxic long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).filter(F.col("a") >= LEAST)
+        texts.filter("fold <> 0").mapInArrow(count, "token string, other long, toxic long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     )
-    ratio = (F.col("a") / toxic) / ((F.col("b") + 1) / other)
-    top = counts.filter(ratio > 1.2).orderBy(F.desc(F.log(ratio) * F.sqrt("a")), "token").limit(LEXICON).collect()
-    known = lexicon([tuple(r) for r in top], toxic, other)
+    known = lexicon([tuple(r) for r in _telling(counts, toxic, other).collect()], toxic, other)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(known)
@@ -226,6 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: str =
     return Model(known, law, platt(points["x"].to_numpy(), points["y"].to_numpy(float), points["share"].to_numpy()))
 
 
+def _telling(counts: DataFrame, toxic: int, other: int) -> DataFrame:
+    """The (token, a, b) that :func:`lexicon` can make entries of: what isn't drawn to zero, and beginnings that
+    aren't rare, for words may explain some of their counts.  The driver holds these alone."""
+    prior = F.lit(PRIOR / (toxic + other)) * (F.col("a") + F.col("b"))
+    a, b = F.col("a") + prior, F.col("b") + prior
+    odds = F.log(a / F.greatest(F.lit(0.5), F.lit(toxic + PRIOR) - a)) - F.log(b / F.greatest(F.lit(0.5), F.lit(other + PRIOR) - b))
+    # A hair's breadth wider than the test that follows in floating point of the driver.
+    return counts.filter((F.abs(odds) > 0.999999 * SHRINK * F.sqrt(1 / a + 1 / b)) | (F.col("token").endswith("*") & (F.col("a") + F.col("b") > RARE)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): passages are (p, start, end) in white-space-separated words."""
     shared = docs.sparkSession.sparkContext.broadcast((model.known, model.law, model.curve))
