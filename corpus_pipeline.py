@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import exact_dedup, near, packing, pii, quality
-from threadloom.llm.common import stash, table
+from threadloom.llm.common import discard, stash, table
 from threadloom.llm.queries import END_ID
 
 #: Documents that score less go.
@@ -33,7 +33,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word sets that share 0.8 of their union link; the least doc_id of each group stays."""
+    """Five-word sets that share 0.8 of their union link, found through SimHash neighbours and a prefix index;
+    the least doc_id of each group stays."""
     return near.drop_near(docs, words=5)
 
 
@@ -61,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        spent, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        discard(spent)  # only what a stage has written goes
     return STAGES[-1][1](spark, docs, sf_dir)
