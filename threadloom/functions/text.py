@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The word pattern and the ranges that count as CJK in search.
 WORD = "[a-z][a-z0-9_]*[a-z0-9]|[a-z0-9]"
+#: Words of two signs or more among those; what a pattern without the single signs finds is the same.
+LONGER = "[a-z][a-z0-9_]*[a-z0-9]"
 CJK = "[㐀-鿿豈-﫿぀-ヿ가-힯]"
 
 

@@ -1,21 +1,21 @@
 """Ranked retrieval over documents (doc_ord, ref, kind, role, title, text).
 
-One query is one pass: a document's length and its counts of the query's terms come out of a
-projection, so no postings are shuffled; the corpus statistics are one row, joined back as such.
-For many queries over one corpus, :func:`postings` is the index.
+One query is one pass over the texts: a document's length and its counts of the query's terms come out of
+a projection, so no postings are shuffled; corpus statistics are one row, joined back as such.
+For many queries over one corpus, :func:`postings` is the index; for many corpora, :func:`search_many`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens, words
+from threadloom.functions.text import CJK, LONGER, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens
+from threadloom.sources.tables import store_root
 
 # The ranking's constants and weights.
 K1, B = 1.2, 0.75
@@ -51,26 +51,67 @@ def message_docs(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", F.col("ord").alias("doc_ord"), F.col("id").alias("ref"), F.lit("message").alias("kind"), "role", F.concat("role", F.lit(": "), F.substring(text, 1, 60)).alias("title"), text.alias("text"))
 
 
+def conversation_docs(messages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A conversation's blocks and messages as one list; blocks come first where orders tie."""
+    return block_docs(blocks).unionByName(message_docs(messages))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(ref, term, tf, len): the index for many queries."""
-    rows = docs.select("ref", tokens(F.col("text"), stemmed=False).alias("t"))
-    rows = stem_rows(rows.select("ref", F.size("t").alias("len"), F.explode("t").alias("term")), "term")
-    return rows.groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """(conv_id if docs have it, ref, term, tf, len): the index for many queries.  Words are counted first, and
+    each text's distinct words are stemmed."""
+    keys = [c for c in ("conv_id", "ref") if c in docs.columns]
+    rows = docs.select(*keys, tokens(F.col("text"), stemmed=False).alias("t"))
+    rows = stem_rows(rows.select(*keys, F.size("t").alias("len"), F.explode("t").alias("term")), "term")
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0.01) -> DataFrame:
+    """BM25 of many queries over many corpora at once: ``asked(conv_id, query_id, query)`` each against the
+    documents (conv_id, doc_ord, ref, text) of its conversation alone.  (conv_id, query_id, rank, ref, score).
+
+    Texts are tokenised once whatever the number of queries; only words that a query of the same
+    conversation asks for leave that pass.  A term that a query repeats counts each time; of documents
+    with one reference the first in order is ranked first.
+    """
+    terms = asked.select("conv_id", "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("conv_id", "query_id", "term").agg(F.count("*").alias("times"))
+    rows = docs.select("conv_id", "doc_ord", "ref", tokens(F.col("text")).alias("t"))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
+    words_of = rows.select("conv_id", "doc_ord", "ref", F.size("t").alias("len"), F.explode("t").alias("term"))
+    tf = words_of.join(terms.select("conv_id", "term").distinct(), ["conv_id", "term"], "left_semi").groupBy("conv_id", "doc_ord", "ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    df = tf.groupBy("conv_id", "term").agg(F.count("*").alias("df"))
+    parts = tf.join(df, ["conv_id", "term"]).join(sizes, "conv_id").join(terms, ["conv_id", "term"])
+    norm = K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif("avg", F.lit(0.0)), F.lit(1.0)))
+    part = F.col("times") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)
+    scored = parts.groupBy("conv_id", "query_id", "doc_ord", "ref").agg(F.sum(part).alias("score")).filter(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy("conv_id", "query_id").orderBy(F.desc("score"), "doc_ord"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("conv_id", "query_id", "rank", "ref", "score")
 
 
 def _counts(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
-    """Docs with ``_len`` and ``_tf``, the counts of the query's terms.  A stem keeps all of its word but
-    the ending, so only words that begin like a term are stemmed."""
+    """Docs without their texts, with ``_len`` and ``_tf``, the counts of the query's terms.
+
+    A stem keeps all of its word but the ending, so a compiled pattern takes out the words that begin like
+    a term, and only these are stemmed.  A run of word signs is one word from its first letter on.
+    """
     terms = query_tokens(query)
-    heads = sorted({q[:-1] for q in terms})
-    if "" in heads:
-        heads = [""]
+    heads = sorted({q[:-1] for q in terms if re.match("[a-z]", q)})
+    low = F.lower(F.coalesce("text", F.lit("")))
     cjk = F.when(F.col("text").rlike(CJK), cjk_tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_w", words(F.col("text"))).withColumn("_c", cjk)
-    like = F.filter("_w", lambda w: reduce(or_, (w.startswith(h) for h in heads), F.lit(False)))
-    rows = rows.withColumn("_t", F.concat(stems(like), "_c"))
+    like = F.array().cast("array<string>")
+    if heads:
+        begin = "|".join(h if h else "[a-z]" for h in heads)
+        like = F.transform(F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9_])[0-9_]*+((?:{begin})[a-z0-9_]*)"), F.lit(1)), lambda w: F.regexp_replace(w, "_+$", ""))
+    rows = docs.withColumns({"_c": cjk, "_n": F.regexp_count(low, F.lit(LONGER)), "_w": like})
+    rows = rows.withColumn("_t", F.concat(stems(F.filter("_w", lambda w: F.length(w) >= 2)), "_c"))
     tf = F.array(*[F.size(F.filter("_t", _equal(q))) for q in terms]).cast("array<int>")
-    return rows.withColumns({"_len": F.size("_w") + F.size("_c"), "_tf": tf}).drop("_w", "_c", "_t"), terms
+    return rows.withColumns({"_len": F.col("_n") + F.size("_c"), "_tf": tf}).drop("_n", "_w", "_c", "_t", "text", "title"), terms
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Narrow rows that several steps need, written once: texts are scanned and cut into words one time."""
+    path = store_root(rows.sparkSession, "scores")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _equal(q: str):
@@ -88,8 +129,9 @@ def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: str) -> DataFrame:
+    """Every column but the texts, with ``score``."""
     rows, terms = _counts(docs, query)
-    return (_bm25(rows, terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
+    return (_bm25(_once(rows), terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
 
 
 def _overlap(query: str) -> Column:
@@ -112,7 +154,9 @@ def substring(docs: DataFrame, query: str) -> DataFrame:
 
 
 def hybrid(docs: DataFrame, query: str, weight: float = 0.7) -> DataFrame:
+    """Every column but the texts, with ``score``: both scores over their maxima."""
     rows, terms = _counts(docs.withColumn("_fz", F.coalesce(_overlap(query), F.lit(0.0))), query)
+    rows = _once(rows)
     rows = (_bm25(rows, terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
     top = rows.agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("_b"), F.greatest(F.max("_fz"), F.lit(1e-9)).alias("_f"))
     rows = rows.crossJoin(F.broadcast(top))

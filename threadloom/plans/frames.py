@@ -7,16 +7,15 @@ a large source only means more groups.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from threadloom.config import Config
 
-from .fold import rebuild
+from .fold import Spec, assign_refs, compress, rebuild, specs_of
 from .state import Message, State
-from .turn import process_turn
+from .turn import Turn, process_turn
 
 _FIELDS = ("id", "role", "content_type", "text", "tool_name", "tool_call_id")
 
@@ -54,8 +53,90 @@ def rebuilt_blocks(messages: DataFrame, config: Config, now: int = 0) -> DataFra
     return messages.groupBy("conv_id").applyInPandas(run, f"conv_id {kind}, block_id string, tier int, topic string, summary string, {ids}, compressed_tokens long, active boolean, start_ref string, end_ref string")
 
 
-def fold_calls(batches: Iterator[pd.DataFrame], state: State, config: Config, count: int) -> tuple[State, int | None]:
-    """A micro-batch of one conversation folded into its state; see ``streaming``."""
-    rows = [m for pdf in batches for m in messages_of(pdf)]
-    t = process_turn(rows, state, config, count, "none")
-    return t.state, t.effects["nudge"]["tier"]
+_CALL = ["call", "pos", "start_ref", "end_ref", "summary", "topic", "call_id"]
+
+
+def apply_calls(messages: DataFrame, calls: DataFrame, config: Config, states: DataFrame | None = None, now: int = 0) -> DataFrame:
+    """Compression calls on whole tables: a row for each call with what came of it and the state after it.
+
+    ``calls`` has conv_id, call (their order), pos (of a range in its call), start_ref, end_ref, summary and
+    perhaps topic and call_id; ``states(conv_id, state)`` are the states before, new ones where a
+    conversation has none.  Calls on a conversation without messages fail by themselves.
+    (conv_id, call, created, tokens, errors, warnings, state JSON).
+    """
+    # A key of its own name: calls may come from the same rows as messages.
+    given = calls.select(F.col("conv_id").alias("_conv"), *[F.col(c) if c in calls.columns else F.lit(None).cast("string").alias(c) for c in _CALL], F.lit(None).cast("string").alias("state"))
+    if states is not None:
+        none = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in _CALL]
+        known = states.join(calls.select("conv_id").distinct(), "conv_id", "left_semi")
+        given = given.unionByName(known.select(F.col("conv_id").alias("_conv"), *none, "state"))
+    columns = ["conv_id", "call", "created", "tokens", "errors", "warnings", "state"]
+
+    def run(key: tuple, talk: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        old = asked["state"].dropna()
+        state = State.from_json(json.loads(old.iloc[0])) if len(old) else State()
+        rows = messages_of(talk) if len(talk) else []
+        state.refs = assign_refs(rows, state, config)
+        out = []
+        asked = asked[asked["call"].notna()].sort_values(["call", "pos"], kind="stable").astype(object)
+        for call, specs in asked.where(asked.notna(), None).groupby("call", sort=True):
+            done = compress([Spec(r.start_ref, r.end_ref, r.summary, r.topic, r.call_id) for r in specs.itertuples(index=False)], rows, state, config, now=now)
+            state = done.state
+            out.append((key[0], call, done.created, done.tokens, done.errors, done.warnings, json.dumps(state.to_json(), ensure_ascii=False)))
+        return pd.DataFrame(out, columns=columns)
+
+    kinds = dict(messages.dtypes)["conv_id"], dict(calls.dtypes)["call"]
+    named = messages.join(calls.select("conv_id").distinct(), "conv_id", "left_semi")
+    return named.groupBy("conv_id").cogroup(given.groupBy("_conv")).applyInPandas(run, f"conv_id {kinds[0]}, call {kinds[1]}, created int, tokens long, errors array<string>, warnings array<string>, state string")
+
+
+def blocks_of(states: DataFrame) -> DataFrame:
+    """The blocks of ``states(conv_id, state)``, a row each, as ``sources.tables`` describes them."""
+    block = "block_id string, tier int, topic string, summary string, direct array<string>, covers array<string>, children array<string>, compressed_tokens long, survived int, generation string, active boolean, call_id string, start_ref string, end_ref string"
+    rows = states.select("conv_id", F.explode(F.from_json("state", f"blocks array<struct<{', '.join(c.replace(' ', ': ', 1) for c in block.split(', '))}>>")["blocks"]).alias("b"))
+    names = {"direct": "direct_message_ids", "covers": "effective_message_ids", "children": "direct_block_ids", "survived": "survived_count", "call_id": "compress_call_id"}
+    picked = [F.col(f"b.{c.split(' ')[0]}").alias(names.get(c.split(" ")[0], c.split(" ")[0])) for c in block.split(", ")]
+    return rows.select("conv_id", *picked).withColumn("block_num", F.substring("block_id", 2, 9).cast("int"))
+
+
+def fold_request(rows: list[Message], state: State, config: Config, strategy: str = "none") -> tuple[Turn, int]:
+    """One request of a conversation, which carries all of its messages: compress calls that the state
+    doesn't know yet are applied, then the turn runs.  (turn, token count)."""
+    state = state.copy()
+    state.refs = assign_refs(rows, state, config)
+    known = {b.call_id for b in state.blocks}
+    for m in rows:
+        if m.tool_name == "compress" and m.content_type == "tool-call" and m.tool_call_id not in known and (specs := specs_of(m.text, m.tool_call_id)):
+            state = compress(specs, rows, state, config).state
+    count = sum(-(-len(m.body) // 4) for m in rows)
+    return process_turn(rows, state, config, count, strategy), count
+
+
+def turn_sequence(requests: DataFrame, config: Config) -> DataFrame:
+    """All requests of each conversation in order, the state going from one to the next: ``requests`` are
+    messages with a column ``request``, each with the whole conversation at that time.
+    (conv_id, request, messages, token_count, growth, baseline, last_shown, tier, active, lost)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = State(), []
+        for request, rows in pdf.groupby("request", sort=True):
+            t, count = fold_request(messages_of(rows), state, config)
+            state = t.state
+            out.append(decided(pdf["conv_id"].iloc[0], request, rows, t, count))
+        return pd.DataFrame(out, columns=DECIDED).astype({"tier": "Int32"})
+
+    kinds = dict(requests.dtypes)["conv_id"], dict(requests.dtypes)["request"]
+    return requests.groupBy("conv_id").applyInPandas(run, decided_schema(*kinds))
+
+
+DECIDED = ["conv_id", "request", "messages", "token_count", "growth", "baseline", "last_shown", "tier", "active", "lost"]
+
+
+def decided_schema(conv: str, request: str) -> str:
+    return f"conv_id {conv}, request {request}, messages long, token_count long, growth long, baseline long, last_shown long, tier int, active array<string>, lost array<string>"
+
+
+def decided(conv, request, rows: pd.DataFrame, t: Turn, count: int) -> tuple:
+    """A row of what a turn decided."""
+    n, s = t.effects["nudge"], t.state
+    return conv, request, len(rows), count, n["growth"], s.baseline, s.last_shown, n["tier"], [b.block_id for b in s.live], t.effects["deactivated"]

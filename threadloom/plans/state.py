@@ -132,14 +132,14 @@ def make_ref(n: int) -> str:
     return f"m{n:05d}"
 
 
-def ref_index(ref: str) -> int | None:
-    m = _MESSAGE.fullmatch(ref.strip().lower())
+def ref_index(ref: str | None) -> int | None:
+    m = _MESSAGE.fullmatch((ref or "").strip().lower())
     return int(m[1]) if m and 1 <= int(m[1]) <= MAX_REF else None
 
 
-def boundary(ref: str) -> tuple[str, int] | None:
+def boundary(ref: str | None) -> tuple[str, int] | None:
     """('message', n) or ('block', n)."""
     if (n := ref_index(ref)) is not None:
         return "message", n
-    m = _BLOCK.fullmatch(ref.strip().lower())
+    m = _BLOCK.fullmatch((ref or "").strip().lower())
     return ("block", int(m[1])) if m and int(m[1]) >= 1 else None

@@ -11,7 +11,7 @@ from threadloom.functions import text as X
 from threadloom.operators import coverage, ranges, reports, search
 from threadloom.plans import frames
 from threadloom.sources import codecs, store
-from threadloom.sources.tables import conversation_messages, read, sample_blocks, session_messages
+from threadloom.sources.tables import conversation_messages, read, sample_blocks, session_messages, store_root
 from threadloom.streaming.turns import batch_turns
 
 QUERY = "the license released under their token action token"
@@ -320,19 +320,17 @@ def subagent_namespaces(spark, sf_dir):
 
 def state_store(spark, sf_dir):
     """Statistics of each conversation, saved as state files and read back."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    root = f"{base}/threadloom/store-{uuid.uuid4().hex}"
+    root = store_root(spark, "store")
     per = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("role").alias("role"))
     store.save(per.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.to_json(F.struct("turns", "role")).alias("payload")), root, now=1)
     return store.load(spark, root).select("id", "version", F.get_json_object("payload", "$.turns").cast("long").alias("turns"), F.get_json_object("payload", "$.role").alias("role"))
 
 
 def queries() -> dict:
-    skip = {"queries", "oracle_sql", "conversation_messages", "session_messages", "sample_blocks", "read", "batch_turns"}
-    return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
+    from threadloom import queries_calls
+
+    skip = {"queries", "oracle_sql"}
+    return queries_calls.queries() | {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
 
 
 _CJK = "[^\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}]"
@@ -434,8 +432,8 @@ def _top(src: str, k: int = 10) -> str:
     return f"SELECT doc_id AS ref, round(score, 6) AS score FROM {src} WHERE score >= 0.01 ORDER BY {src}.score DESC, doc_id LIMIT {k}"
 
 
-def _preview(size: int) -> str:
-    terms = [t for t in QUERY.lower().split() if len(t) > 1]
+def _preview(size: int, query: str = QUERY) -> str:
+    terms = [t for t in query.lower().split() if len(t) > 1]
     hit = "coalesce(" + ", ".join(f"nullif(strpos(lower(text), '{t}'), 0) - 1" for t in terms) + ", -1)"
     half = max(0, size // 2 - 10)
     return f"""(CASE WHEN {hit} < 0 THEN substr(text, 1, {size}) ELSE
@@ -453,7 +451,9 @@ _LAB = "CASE WHEN x.topic IS NULL OR x.topic = '' THEN x.block_id ELSE x.block_i
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     out["turn_view"] = out["render_refs"]
-    return out
+    from threadloom import queries_calls
+
+    return queries_calls.oracle_sql() | out
 
 
 def _sql() -> dict[str, str]:

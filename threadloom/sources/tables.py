@@ -7,6 +7,9 @@ direct_block_ids, compressed_tokens, active, compress_call_id, start_ref, end_re
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store_root(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share; it goes when
+    the driver's JVM ends.  Where the setting is unset, executors must be local, too."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/threadloom-own-{spark.sparkContext.applicationId}")
+    fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(own)
+    fs.deleteOnExit(own)
+    made = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(own, f"{label}-{uuid.uuid4().hex}")).toString()
+    return "file://" + made[len("file:") :] if made.startswith("file:/") and not made.startswith("file://") else made
+
+
 def with_ids(messages: DataFrame) -> DataFrame:
     """Content-hash ids; the n-th repeat of one in a conversation, from the second on, gets ``_n``."""
     nth = F.row_number().over(Window.partitionBy("conv_id", "_base").orderBy("ord")) - 1

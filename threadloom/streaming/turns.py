@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.config import Config
-from threadloom.plans.frames import messages_of
+from threadloom.plans.frames import DECIDED, decided, decided_schema, fold_request, messages_of
 from threadloom.plans.state import State
 from threadloom.plans.turn import process_turn
 
@@ -58,6 +58,36 @@ def batch_turns(messages: DataFrame, config: Config) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandas(run, _OUT.format(kind=kind))
 
 
+def stream_requests(requests: DataFrame, config: Config, idle: str | None = None) -> DataFrame:
+    """One row for each request of a stream, as ``frames.turn_sequence`` gives for a table.
+
+    A request carries its whole conversation, so only the conversation's own state is kept, and messages
+    that vanish between requests take their blocks with them.  Requests of one micro-batch run in
+    the order of ``request``; one that is not newer than the last is passed over, so a replay changes nothing.
+    With ``idle`` (a duration) a conversation's state goes after that time without requests.
+    """
+    kinds = dict(requests.dtypes)["conv_id"], dict(requests.dtypes)["request"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        last, state = (held.get[0], State.from_json(json.loads(held.get[1]))) if held.exists else (None, State())
+        out = []
+        for request, rows in pd.concat(list(parts)).groupby("request", sort=True):
+            if last is None or request > last:
+                t, count = fold_request(messages_of(rows), state, config)
+                state, last = t.state, int(request)
+                out.append(decided(key[0], request, rows, t, count))
+        held.update((last, json.dumps(state.to_json(), ensure_ascii=False)))
+        if idle:
+            held.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=DECIDED).astype({"tier": "Int32"})
+
+    limit = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return requests.groupBy("conv_id").applyInPandasWithState(run, decided_schema(*kinds), "last long, state string", "append", limit)
+
+
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """An addition of ours: events by user and session window, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
