@@ -202,10 +202,8 @@ def id_filter(ids: DataFrame, column: str) -> tuple[Column, int]:
         ids.select(at.alias("p"))
         .groupBy(F.shiftright("p", 5).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v"))
-        .toPandas()
     )
-    field = np.zeros(bits >> 5, np.uint32)
-    field[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
+    field = bit_field(words, bits)
     shared = spark.sparkContext.broadcast(field)
 
     @F.pandas_udf("boolean")
@@ -222,6 +220,13 @@ def id_filter(ids: DataFrame, column: str) -> tuple[Column, int]:
     return F.col(column).isNull() | maybe(h), n
 
 
+def bit_field(words: DataFrame, bits: int) -> np.ndarray:
+    """``words(w, v)``, a row for each 32 bits that has any, as one array of ``bits``."""
+    rows, field = words.select(F.col("w").cast("long"), "v").toArrow(), np.zeros(bits >> 5, np.uint32)
+    field[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
+    return field
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder, as Hadoop or Python spells it."""
     from pyarrow import fs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, claim, discard, id_filter, is_scan, located, place_marks, placed, slices, stash
+from .common import FILE, ROW, bit_field, claim, discard, id_filter, is_scan, located, place_marks, placed, slices, stash
 from .components import components
 from .simhash import hashes, links, sign
 
@@ -84,9 +84,7 @@ def _often(docs: DataFrame, words: int) -> np.ndarray:
         least *= 2
     at = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(OFTEN_BITS - 1)) for s in (0, 32)]))
     words_of = found.filter(F.col("n") >= least).select(at.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v"))
-    rows, field = words_of.toPandas(), np.zeros(OFTEN_BITS >> 5, np.uint32)  # a word a row, as many as the field has at most
-    field[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint32)
-    return field
+    return bit_field(words_of, OFTEN_BITS)
 
 
 def _is_often(own: np.ndarray, field: np.ndarray) -> np.ndarray:
