@@ -15,7 +15,7 @@ from threadloom.config import Config
 
 from .fold import Spec, assign_refs, compress, rebuild, specs_of
 from .state import Message, State
-from .turn import Turn, process_turn
+from .turn import TextFilter, Turn, clear_filters, process_turn, register_filter
 
 _FIELDS = ("id", "role", "content_type", "text", "tool_name", "tool_call_id")
 
@@ -25,10 +25,14 @@ def messages_of(pdf: pd.DataFrame) -> list[Message]:
     return [Message(*r) for r in rows.where(rows.notna(), None).itertuples(index=False)]
 
 
-def turns(messages: DataFrame, config: Config, strategy: str = "all") -> DataFrame:
-    """The view of each conversation after one turn: (conv_id, ord, id, role, content_type, text, tier, state)."""
+def turns(messages: DataFrame, config: Config, strategy: str = "all", text_filters: tuple[TextFilter, ...] = ()) -> DataFrame:
+    """The view of each conversation after one turn: (conv_id, ord, id, role, content_type, text, tier, state).
+    ``text_filters`` are the turn's filters in order; a registry of the driver's process doesn't reach workers."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        clear_filters()
+        for f in text_filters:
+            register_filter(f)
         rows = messages_of(pdf)
         count = sum(-(-len(m.body) // 4) for m in rows)
         t = process_turn(rows, State(), config, count, strategy)

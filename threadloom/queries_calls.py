@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from threadloom.config import Compress, Config, Nudge
 from threadloom.functions import text as X
-from threadloom.operators import coverage, search
+from threadloom.operators import coverage, ranges, reports, search
 from threadloom.plans import frames
+from threadloom.plans.turn import TextFilter
 from threadloom.sources import codecs, store
-from threadloom.sources.tables import conversation_messages, read, session_messages, store_root
+from threadloom.sources.tables import conversation_messages, read, sample_blocks, session_messages, store_root
+from threadloom.streaming.turns import session_counts
 
 OPEN = Config(model_context_limit=100_000, preserve_recent_messages=0, preserve_recent_tokens=0, compress=Compress(0, 0, 0))
 GATE = 600
@@ -184,6 +186,86 @@ def search_union(spark, sf_dir):
     return docs.groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.length("title")).alias("titles"))
 
 
+def _scene(talk: DataFrame, rows: list[tuple]) -> DataFrame:
+    """The same scene in every conversation, with the text of its first message: (role, content_type, tool_name, tool_call_id)."""
+    first = talk.filter("ord = 0").select("conv_id", "text")
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(f"i{i}").alias("id"), F.lit(a).alias("role"), F.lit(b).alias("content_type"), F.lit(c).cast("string").alias("tool_name"), F.lit(d).cast("string").alias("tool_call_id")) for i, (a, b, c, d) in enumerate(rows)])
+    return first.select("conv_id", "text", F.explode(listed).alias("m")).select("conv_id", "m.ord", "m.id", "m.role", "m.content_type", "text", "m.tool_name", "m.tool_call_id")
+
+
+def _covered(rows: DataFrame, specs: list[tuple]) -> DataFrame:
+    blocks = frames.blocks_of(_last_state(frames.apply_calls(rows, _calls(rows, specs), OPEN)))
+    return blocks.select("conv_id", "block_id", F.array_join("direct_message_ids", ",").alias("direct"), "compressed_tokens")
+
+
+def tool_pair_widening(spark, sf_dir):
+    """A range that ends between calls and results takes both along, on either side."""
+    call, result = ("assistant", "tool-call", "read"), ("tool", "tool-result", None)
+    rows = _scene(_talk(spark, sf_dir), [(*call, "1"), (*result, "1"), (*call, "2"), ("user", "text", None, None), (*result, "2"), ("user", "text", None, None)])
+    return _covered(rows, [(1, 0, "m00002", "m00003", "pairs")])
+
+
+def reasoning_widening(spark, sf_dir):
+    """An answer takes the reasoning before it along, and reasoning the answer behind it."""
+    think, say, ask = ("assistant", "reasoning", None, None), ("assistant", "text", None, None), ("user", "text", None, None)
+    rows = _scene(_talk(spark, sf_dir), [think, think, say, ask, think, say, ask, think, ask])
+    return _covered(rows, [(1, 0, "m00003", "m00003", "answer"), (2, 0, "m00005", "m00005", "thought"), (3, 0, "m00008", "m00008", "alone")])
+
+
+def turn_filters(spark, sf_dir):
+    """Text filters of a turn: one changes texts, one keeps the last of its kind, one fails and changes nothing."""
+    on = (TextFilter("mark", lambda text, *_: text.replace("th", "TH")), TextFilter("fails", lambda *_: 1 / 0), TextFilter("last", lambda text, role, *_: text if role == "user" else None, keep_last_only=True))
+    shown = frames.turns(_talk(spark, sf_dir), OPEN.with_(filters_enabled=True), "none", on)
+    return shown.select("conv_id", "ord", "text")
+
+
+def request_kinds(spark, sf_dir):
+    """The formats of request bodies of five shapes."""
+    k = F.col("conv_id") % 5
+    body = F.when(k == 0, '{"input":[]}').when(k == 1, '{"system":"","messages":[]}').when(k == 2, '{"messages":[{"role":"user","content":[{"type":"tool_result"}]}]}').when(k == 3, '{"messages":[{"role":"system","content":"x"}]}').otherwise("no body")
+    return codecs.kinds(read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("body", body))
+
+
+def round_trip_responses(spark, sf_dir):
+    """Sessions through the item format and back: calls, results and texts, but no reasoning of a foreign format."""
+    rows = session_messages(read(spark, sf_dir, "events")).filter("content_type <> 'reasoning'")
+    made = codecs.assemble(rows, "responses").withColumn("body", F.concat(F.lit('{"input":'), "messages", F.lit("}")))
+    return codecs.flatten(made, "responses").select("conv_id", "ord", "content_type", "tool_call_id", F.length("text").alias("chars"))
+
+
+def viable_ranges(spark, sf_dir):
+    """Ranges worth a call."""
+    from threadloom.queries import compressible_ranges
+
+    return ranges.viable(compressible_ranges(spark, sf_dir), 700).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def session_windows(spark, sf_dir):
+    """Events by user and session window, as the stream counts them."""
+    out = session_counts(read(spark, sf_dir, "events"), "6 hours")
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("most"), F.sum("n").alias("events"))
+
+
+def block_listing(spark, sf_dir):
+    """Active blocks by what they hold, by age and by time."""
+    blocks = sample_blocks(_talk(spark, sf_dir)).withColumns({"created_at": F.col("conv_id") * 3 - F.col("block_num"), "survived_count": F.col("block_num") % 2})
+    out = None
+    for sort in ("size", "age", "time"):
+        one = reports.block_listing(blocks, sort, 2).select("conv_id", F.lit(sort).alias("sort"), "nth", "block_id", "summary_tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def message_listing_sorts(spark, sf_dir):
+    rows = session_messages(read(spark, sf_dir, "events"))
+    shown = reports.visible_messages(rows, coverage.assign_refs(rows), sample_blocks(rows).limit(0))
+    out = None
+    for sort, tool in (("time", None), ("tool", None), ("size", "bash")):
+        one = reports.message_listing(shown, sort, 4, tool).select("conv_id", F.lit(sort).alias("sort"), "nth", "ref", "tokens", "tool")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def queries() -> dict:
     skip = {"queries", "oracle_sql"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
@@ -240,6 +322,25 @@ def oracle_sql() -> dict[str, str]:
         "search_duplicates": f"""WITH l AS (SELECT doc_id % 50 AS ref, max(doc_id) AS last FROM documents GROUP BY 1), s AS (SELECT doc_id, doc_id % 50 AS ref, CAST({hits} AS DOUBLE) AS own FROM documents),
             w AS (SELECT s.doc_id, s.ref, own * CASE d.lang WHEN 'en' THEN 1.5 WHEN 'fr' THEN 1.0 ELSE 0.6 END AS score, CASE d.lang WHEN 'en' THEN 'user' WHEN 'fr' THEN 'assistant' ELSE 'tool' END AS role, d.text FROM s JOIN l USING (ref) JOIN documents d ON d.doc_id = l.last)
             SELECT doc_id, ref, round(score, 6) AS score, role, {q._preview(60, 'license under')} AS preview FROM w WHERE score >= 0.01 ORDER BY w.score DESC, doc_id LIMIT 20""",
+        "tool_pair_widening": f"SELECT conv_id, 'b1' AS block_id, 'i0,i1,i2,i3,i4' AS direct, 5 * {tok('text')} AS compressed_tokens FROM conversations WHERE turn = 0",
+        "reasoning_widening": f"SELECT conv_id, block_id, direct, n * {tok('text')} AS compressed_tokens FROM conversations, (VALUES ('b1', 'i0,i1,i2', 3), ('b2', 'i4,i5', 2), ('b3', 'i7', 1)) v(block_id, direct, n) WHERE turn = 0",
+        "turn_filters": "SELECT conv_id, turn AS ord, CASE WHEN role = 'user' AND turn < max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) THEN '' ELSE replace(text, 'th', 'TH') END AS text FROM conversations",
+        "request_kinds": "SELECT DISTINCT conv_id, CASE conv_id % 5 WHEN 0 THEN 'responses' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'anthropic' WHEN 3 THEN 'openai' END AS kind FROM conversations",
+        "round_trip_responses": f"WITH {q._SESS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS ord, content_type, tool_call_id, CAST(length(text) AS INT) AS chars FROM sess WHERE content_type <> 'reasoning'",
+        "viable_ranges": f"WITH RECURSIVE {q._SESS}, {q._refs('sess')}, {q._CLASS}, {q._FOLD} SELECT conv_id, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM rng WHERE tokens >= 700 GROUP BY 1",
+        "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+            s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)
+            SELECT user_id, count(*) AS sessions, max(n) AS most, CAST(sum(n) AS BIGINT) AS events FROM c GROUP BY 1""",
+        "block_listing": f"""WITH {q._TALK}, {q._blocks('talk')}, b AS (SELECT conv_id, block_id, block_num, compressed_tokens AS c, {tok('summary')} AS summary_tokens, conv_id * 3 - block_num AS created, block_num % 2 AS survived FROM blk WHERE active),
+            r AS (SELECT conv_id, 'size' AS sort, row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, created DESC, block_num) AS nth, block_id, summary_tokens FROM b
+                UNION ALL SELECT conv_id, 'age', row_number() OVER (PARTITION BY conv_id ORDER BY survived DESC, block_num), block_id, summary_tokens FROM b
+                UNION ALL SELECT conv_id, 'time', row_number() OVER (PARTITION BY conv_id ORDER BY created, block_num), block_id, summary_tokens FROM b)
+            SELECT conv_id, sort, CAST(nth AS INT) AS nth, block_id, summary_tokens FROM r WHERE nth <= 2""",
+        "message_listing_sorts": f"""WITH {q._SESS}, v AS (SELECT conv_id, ord, 'm' || lpad(CAST(ord + 1 AS VARCHAR), 5, '0') AS ref, {tok('text')} AS tokens, coalesce(tool_name, 'text') AS tool FROM sess WHERE length(text) > 0),
+            r AS (SELECT conv_id, 'time' AS sort, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS nth, ref, tokens, tool FROM v
+                UNION ALL SELECT conv_id, 'tool', row_number() OVER (PARTITION BY conv_id ORDER BY tool, tokens DESC, ord), ref, tokens, tool FROM v
+                UNION ALL SELECT conv_id, 'size', row_number() OVER (PARTITION BY conv_id ORDER BY tokens DESC, ord), ref, tokens, tool FROM v WHERE tool = 'bash')
+            SELECT conv_id, sort, CAST(nth AS INT) AS nth, ref, tokens, tool FROM r WHERE nth <= 4""",
         "search_by_group": "WITH " + _bm25_sql(q._STEM),
         "search_union": f"""WITH {two}, t AS (SELECT conv_id, 'message' AS kind, length(text) AS chars, length(role) + 2 + least(60, length(text)) AS titles FROM conversations UNION ALL SELECT conv_id, 'block', 8, 2 FROM size)
             SELECT conv_id, kind, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(titles) AS BIGINT) AS titles FROM t GROUP BY 1, 2""",
