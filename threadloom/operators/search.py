@@ -7,9 +7,13 @@ For many queries over one corpus, :func:`postings` is the index; for many corpor
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +171,81 @@ def semantic(vectors: DataFrame, query: list[float], column: str = "embedding")
     return vectors.withColumn("score", cosine(F.col(column), F.array(*[F.lit(float(x)) for x in query])))
 
 
+def register_semantic(embed: Callable[[list[str]], list[list[float]]], name: str = "semantic") -> None:
+    """An algorithm of embeddings that the caller makes: ``embed(texts)`` gives a vector each.
+
+    It runs in batches on the executors, once for each distinct text, whatever the number of documents that
+    share it; vectors are remembered in a worker by the text's hash.  A vector of zeros scores 0.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if (name, k) not in _vectors}
+        if len(_vectors) > VECTORS:
+            _vectors.clear()
+            new = dict(zip(keys, texts, strict=True))
+        if new:
+            _vectors.update({(name, k): [float(x) for x in v] for k, v in zip(new, embed(list(new.values())), strict=True)})
+        return pd.Series([_vectors[name, k] for k in keys])
+
+    def score(docs: DataFrame, query: str) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        known = docs.select(text.alias("_text")).distinct().withColumn("_vector", vectors("_text"))
+        scored = semantic(known, embed([query])[0], "_vector").select("_text", "score")
+        return docs.join(scored, text == F.col("_text")).drop("_text")
+
+    register(name, score)
+
+
+#: Vectors that a worker remembers at most.
+VECTORS = 100_000
+_vectors: dict[tuple[str, bytes], list[float]] = {}
+
+
+class Index:
+    """A corpus tokenised once for many queries: postings in ``BUCKETS`` folders by a hash of the term, so a query
+    reads those of its own terms alone, and the lengths of all documents.
+
+    ``at`` is a folder that all executors share; without one, that of the session.  An index that is
+    there already is opened as it is.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, docs: DataFrame, at: str | None = None):
+        spark = docs.sparkSession
+        self.at = at or store_root(spark, "index")
+        keys = [c for c in docs.columns if c not in ("text", "title")]
+        try:
+            spark.read.parquet(f"{self.at}/documents")
+        except AnalysisException:
+            rows = _once(docs.select(*keys, tokens(F.col("text")).alias("t")))
+            words_of = rows.select("ref", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+            words_of.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("ref"), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.at}/postings")
+            rows.select(*keys, F.size("t").alias("len")).write.parquet(f"{self.at}/documents")
+        self.documents = spark.read.parquet(f"{self.at}/documents")
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+
+    def bm25(self, query: str) -> DataFrame:
+        """(ref, score) of the documents that have a term of the query."""
+        spark, times = self.documents.sparkSession, Counter(query_tokens(query))
+        if not times:
+            return self.documents.select("ref", F.lit(0.0).alias("score")).limit(0)
+        asked = spark.createDataFrame(sorted(times.items()), "term string, times int").withColumn("bucket", self._bucket(F.col("term"))).collect()
+        n, avg = self.documents.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
+        rows = spark.createDataFrame([], f"ref {dict(self.documents.dtypes)['ref']}, term string, tf long, len int, bucket int")
+        if n and not self.documents.filter("len > 0").isEmpty():
+            rows = spark.read.parquet(f"{self.at}/postings").filter(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("term").isin(list(times)))
+        terms = F.broadcast(spark.createDataFrame([(r["term"], r["times"]) for r in asked], "term string, times int"))  # as many rows as the query has terms
+        df = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))
+        norm = K1 * (1 - B + B * F.col("len") / (avg or 1.0))
+        part = F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)
+        return rows.join(terms, "term").join(df, "term").groupBy("ref").agg(F.sum(part).alias("score"))
+
+
 for _name, _score in (("bm25", bm25), ("fuzzy", fuzzy), ("substring", substring), ("hybrid", hybrid)):
     register(_name, _score)
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from threadloom.config import Config
+from threadloom.config import Config, validate
 
 from .fold import assign_refs
 from .protection import batches, recent_zone, split_ranges
 from .state import BLOCKED, HEADER, PREFIX, Message, State, count_tokens, half_up, units
 
+log = logging.getLogger(__name__)
+
 # Fixed values of the message format: the truncation mark below, and the tag that ``render_node`` writes.
 #: What counts as blank at a text's ends.
 BLANKS = "\t\n\v\f\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -305,5 +308,9 @@ def run_pipeline(nodes: list[Node], turn: Turn) -> Turn:
 
 
 def process_turn(messages: list[Message], state: State, config: Config, token_count: int, strategy: str = "all", count=count_tokens) -> Turn:
-    """The rewritten messages, the new state and the effects; the state that came in stays as it is."""
-    return run_pipeline(default_nodes(strategy), Turn(list(messages), state.copy(), config, token_count, count))
+    """The rewritten messages, the new state and the effects; the state that came in stays as it is.  What
+    is wrong with the settings is a warning and an effect, for a turn must not fail over it."""
+    wrong = validate(config)
+    if wrong:
+        log.warning("thresholds may not fire as meant: %s", "; ".join(wrong))
+    return run_pipeline(default_nodes(strategy), Turn(list(messages), state.copy(), config, token_count, count, {"config": wrong} if wrong else {}))

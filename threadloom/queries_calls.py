@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +181,35 @@ def search_by_group(spark, sf_dir):
     return search.search_many(docs, asked, k=3).select("conv_id", "query_id", "rank", "ref", F.round("score", 6).alias("score"))
 
 
+def bm25_indexed(spark, sf_dir):
+    """The best documents of one query, from postings."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ref"), "text")
+    from threadloom.queries import QUERY
+
+    return search.top_k(search.Index(docs).bm25(QUERY), 10, ties=("ref",)).select("ref", F.round("score", 6).alias("score"))
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[float(t.lower().count(c)) for c in "aeiou"] for t in texts]
+
+
+def semantic_topk(spark, sf_dir):
+    """Ranking by vectors of the caller's own making: here, counts of five letters."""
+    search.register_semantic(_letters, "letters")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").alias("ref"), F.lit("block").alias("kind"), F.lit(None).cast("string").alias("role"), "text")
+    return search.search(docs, "aeiou aa ee", "letters", k=15).select("ref", F.round("score", 6).alias("score"))
+
+
+def labelled_search(spark, sf_dir):
+    """How well each message is found by its own first six words among those of its conversation."""
+    talk = _talk(spark, sf_dir)
+    docs = search.message_docs(talk).withColumn("ref", F.col("doc_ord"))
+    asked = talk.select("conv_id", F.col("ord").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 6), " ").alias("query"))
+    found = search.search_many(docs, asked, k=10).select(F.concat_ws(":", "conv_id", "query_id").alias("query"), F.concat_ws(":", "conv_id", "ref").alias("ref"), "rank")
+    expected = talk.select(F.concat_ws(":", "conv_id", "ord").alias("query"), F.concat_ws(":", "conv_id", "ord").alias("ref"))
+    return search.ranking_quality(found, expected).select(*[F.round(c, 6).alias(c) for c in ("mrr", "r1", "r3")])
+
+
 def search_union(spark, sf_dir):
     """Blocks and messages of a conversation as one list of documents, by kind."""
     talk = _talk(spark, sf_dir)
@@ -286,6 +317,25 @@ def _bm25_sql(stem: str) -> str:
         SELECT source AS conv_id, query_id, rank, doc_id AS ref, round(score, 6) AS score FROM r WHERE rank <= 3"""
 
 
+def _labelled_sql(stem: str) -> str:
+    """The same tokens and scores over messages, once for documents and once for queries."""
+    docs = stem.replace("FROM documents", "FROM msgs")
+    asked = re.sub(r"\b(tok|s1|s2|s3|s4|s5|s6|stm)\b", r"q_\1", stem).replace("FROM documents", "FROM asks")
+    return f"""WITH msgs AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+        asks AS (SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS text FROM msgs),
+        {docs}, {asked},
+        q AS (SELECT doc_id AS ask, w, count(*) AS times FROM q_stm GROUP BY 1, 2),
+        len_ AS (SELECT m.doc_id, m.doc_id // 1000 AS c, count(s.w) AS len FROM msgs m LEFT JOIN stm s USING (doc_id) GROUP BY 1, 2),
+        avg_ AS (SELECT c, avg(len) AS a, count(*) AS n FROM len_ GROUP BY 1),
+        tf AS (SELECT doc_id, doc_id // 1000 AS c, w, count(*) AS f FROM stm GROUP BY 1, 2, 3),
+        df AS (SELECT c, w, count(*) AS d FROM tf GROUP BY 1, 2),
+        bm AS (SELECT q.ask, tf.doc_id, sum(times * ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))) AS score
+            FROM q JOIN tf ON tf.w = q.w AND tf.c = q.ask // 1000 JOIN df ON df.c = tf.c AND df.w = tf.w JOIN len_ l ON l.doc_id = tf.doc_id JOIN avg_ ON avg_.c = tf.c GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id) AS k FROM bm WHERE score >= 0.01),
+        h AS (SELECT m.doc_id, min(CASE WHEN k <= 10 THEN k END) AS k FROM msgs m LEFT JOIN r ON r.ask = m.doc_id AND r.doc_id = m.doc_id GROUP BY 1)
+        SELECT round(avg(coalesce(CAST(1 AS DOUBLE) / k, 0)), 6) AS mrr, round(avg(CAST(coalesce(k <= 1, false) AS INT)), 6) AS r1, round(avg(CAST(coalesce(k <= 3, false) AS INT)), 6) AS r3 FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
     from threadloom import queries as q
 
@@ -322,6 +372,11 @@ def oracle_sql() -> dict[str, str]:
         "search_duplicates": f"""WITH l AS (SELECT doc_id % 50 AS ref, max(doc_id) AS last FROM documents GROUP BY 1), s AS (SELECT doc_id, doc_id % 50 AS ref, CAST({hits} AS DOUBLE) AS own FROM documents),
             w AS (SELECT s.doc_id, s.ref, own * CASE d.lang WHEN 'en' THEN 1.5 WHEN 'fr' THEN 1.0 ELSE 0.6 END AS score, CASE d.lang WHEN 'en' THEN 'user' WHEN 'fr' THEN 'assistant' ELSE 'tool' END AS role, d.text FROM s JOIN l USING (ref) JOIN documents d ON d.doc_id = l.last)
             SELECT doc_id, ref, round(score, 6) AS score, role, {q._preview(60, 'license under')} AS preview FROM w WHERE score >= 0.01 ORDER BY w.score DESC, doc_id LIMIT 20""",
+        "bm25_indexed": f"WITH {q._BM} {q._top('bm')}",
+        "semantic_topk": "WITH v AS (SELECT doc_id, " + ", ".join(f"length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{c}', '')) AS {c}" for c in "aeiou") + """ FROM documents),
+            s AS (SELECT doc_id, CASE WHEN a + e + i + o + u = 0 THEN 0 ELSE (3 * a + 3 * e + i + o + u) / (sqrt(21.0) * sqrt(CAST(a * a + e * e + i * i + o * o + u * u AS DOUBLE))) END AS score FROM v)
+            SELECT doc_id AS ref, round(score, 6) AS score FROM s WHERE score >= 0.01 ORDER BY s.score DESC, doc_id LIMIT 15""",
+        "labelled_search": _labelled_sql(q._STEM),
         "tool_pair_widening": f"SELECT conv_id, 'b1' AS block_id, 'i0,i1,i2,i3,i4' AS direct, 5 * {tok('text')} AS compressed_tokens FROM conversations WHERE turn = 0",
         "reasoning_widening": f"SELECT conv_id, block_id, direct, n * {tok('text')} AS compressed_tokens FROM conversations, (VALUES ('b1', 'i0,i1,i2', 3), ('b2', 'i4,i5', 2), ('b3', 'i7', 1)) v(block_id, direct, n) WHERE turn = 0",
         "turn_filters": "SELECT conv_id, turn AS ord, CASE WHEN role = 'user' AND turn < max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) THEN '' ELSE replace(text, 'th', 'TH') END AS text FROM conversations",
