@@ -1,6 +1,6 @@
 """WARC archives, one Zstandard frame for each record behind a dictionary in a skippable frame.
 
-Writing: payloads are grouped by digest and length; of a group the record with the largest page_id
+Writing: payloads are grouped by SHA-256 and length; of a group the record with the largest page_id
 is a ``response``, the others are ``revisit`` records that refer to it and carry its HTTP header
 alone.  Each task trains a dictionary on its first records (a bounded sample), writes it into the
 leading skippable frame and then one frame for each record.  Reading: the dictionary is loaded
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, open_fs, scratch, slices, stash
+from .common import FILE, ROW, Sink, discard, is_scan, located, open_fs, place_marks, placed, scratch, slices, stash
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and a frame's magic.
 DICT_MAGIC = 0x184D2A5D
@@ -194,21 +194,30 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> list[str]:
         for b in slices(batches, 256):
             out = out or ArchiveWriter(Sink(uri, task.taskAttemptId()))
             for row in b.to_pylist():
-                payload = row["payload"] if row["keep_id"] is None or row["keep_id"] == row["page_id"] else None
-                out.add(record(row["page_id"], row["url"], payload, row["size"], row["sha1"], row["keep_id"]))
+                out.add(record(row["page_id"], row["url"], row["payload"], row["size"], row["sha1"], row["keep_id"]))
         if out:
             yield pa.RecordBatch.from_pylist([{"uri": uri, "records": out.close()}])
 
-    rows = pages.select(
+    docs = pages if is_scan(pages) else stash(pages, "rows")
+    rows = located(docs).select(
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
+        FILE,
+        ROW,
     ).withColumns({"sha1": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
-    # Digests alone are summed up, and only payloads that occur again get a keep_id.  The groups are
-    # written first: the join then has a bare exchange on both sides, so a hot payload can be split.
-    groups = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n"))
-    chosen = rows.join(stash(groups.filter("n > 1").drop("n"), "payloads"), ["sha1", "size"], "left")
-    return [r.uri for r in chosen.mapInArrow(write, "uri string, records long").collect()]
+    # Payloads stay where they are: digests alone are joined, and the places of revisits leave the second scan.
+    prints = stash(rows.filter(F.col("size") >= least_bytes).select("page_id", "url", "sha1", "size", F.unhex(F.sha2("payload", 256)).alias("sha256"), FILE, ROW), "digests")
+    groups = stash(prints.groupBy("sha256", "size").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1 and keep_id is not null").drop("n"), "payloads")
+    revisits = stash(prints.join(groups, ["sha256", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("keep_id"))), "revisits")
+    marks = place_marks(revisits.select(FILE, ROW))
+    names = ["page_id", "url", "payload", "sha1", "size", "keep_id"]
+    none = F.lit(None)
+    responses = rows.filter(~placed(marks)).withColumn("keep_id", none.cast("long")).select(names)
+    chosen = responses.unionByName(revisits.withColumn("payload", none.cast("binary")).select(names))
+    uris = [r.uri for r in chosen.mapInArrow(write, "uri string, records long").collect()]
+    discard(prints, groups, revisits)
+    return uris
 
 
 def read_archives(spark, uris: list[str], payloads: bool = True) -> DataFrame:
