@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.tables import written
 from threadloom.functions.scalars import (
     BLOCKED,
     SUMMARY_HEADER,
@@ -208,14 +209,15 @@ def overlapping_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
 def lineage(blocks: DataFrame, depth: int = 64) -> DataFrame:
     """(conv_id, block_id, below, depth): blocks that each block consumed, directly or through others.
 
-    Rounds of one join each; a tier has at most two below it, so two or three rounds suffice, and
-    ``depth`` only guards against circles in damaged state.
+    Rounds of one join each, written as they come, so no round runs those before it again; a tier has at most
+    two below it, so two or three rounds suffice, and ``depth`` only guards against circles in damaged state.
     """
     edges = blocks.select("conv_id", "block_id", F.explode("direct_block_ids").alias("below"))
     step = edges.select("conv_id", F.col("block_id").alias("below"), F.col("below").alias("_next"))
     found = level = edges.withColumn("depth", F.lit(1))
     for d in range(2, depth + 1):
         level = level.join(step, ["conv_id", "below"]).select("conv_id", "block_id", F.col("_next").alias("below"), F.lit(d).alias("depth"))
+        level = written(level, "lineage")
         if level.isEmpty():
             break
         found = found.union(level)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
 from threadloom.functions.text import CJK, LONGER, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens
-from threadloom.sources.tables import store_root
+from threadloom.sources.tables import store_root, written
 
 # The ranking's constants and weights.
 K1, B = 1.2, 0.75
@@ -111,13 +111,6 @@ def _counts(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
     return rows.withColumns({"_len": F.col("_n") + F.size("_c"), "_tf": tf}).drop("_n", "_w", "_c", "_t", "text", "title"), terms
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Narrow rows that several steps need, written once: texts are scanned and cut into words one time."""
-    path = store_root(rows.sparkSession, "scores")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _equal(q: str):
     return lambda w: w == q
 
@@ -135,7 +128,7 @@ def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, query: str) -> DataFrame:
     """Every column but the texts, with ``score``."""
     rows, terms = _counts(docs, query)
-    return (_bm25(_once(rows), terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
+    return (_bm25(written(rows, "scores"), terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
 
 
 def _overlap(query: str) -> Column:
@@ -160,7 +153,7 @@ def substring(docs: DataFrame, query: str) -> DataFrame:
 def hybrid(docs: DataFrame, query: str, weight: float = 0.7) -> DataFrame:
     """Every column but the texts, with ``score``: both scores over their maxima."""
     rows, terms = _counts(docs.withColumn("_fz", F.coalesce(_overlap(query), F.lit(0.0))), query)
-    rows = _once(rows)
+    rows = written(rows, "scores")
     rows = (_bm25(rows, terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
     top = rows.agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("_b"), F.greatest(F.max("_fz"), F.lit(1e-9)).alias("_f"))
     rows = rows.crossJoin(F.broadcast(top))
@@ -220,7 +213,7 @@ class Index:
         try:
             spark.read.parquet(f"{self.at}/documents")
         except AnalysisException:
-            rows = _once(docs.select(*keys, tokens(F.col("text")).alias("t")))
+            rows = written(docs.select(*keys, tokens(F.col("text")).alias("t")), "tokens")
             words_of = rows.select("ref", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
             words_of.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("ref"), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.at}/postings")
             rows.select(*keys, F.size("t").alias("len")).write.parquet(f"{self.at}/documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import Compress, Config, Nudge
 from threadloom.functions import text as X
-from threadloom.operators import coverage, ranges, reports, search
+from threadloom.operators import coverage, ranges, reports, search, status
 from threadloom.plans import frames
 from threadloom.plans.turn import TextFilter
 from threadloom.sources import codecs, store
@@ -257,6 +257,13 @@ def request_kinds(spark, sf_dir):
     return codecs.kinds(read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("body", body))
 
 
+def unreadable_requests(spark, sf_dir):
+    """Bodies that give no messages, and why."""
+    k = F.col("conv_id") % 4
+    body = F.when(k == 0, "{broken").when(k == 1, '{"messages":[{"role":"user","content":"fine"}]}').when(k == 2, '{"input":[{"type":"function_call","arguments":"no call"}]}').otherwise("[1]")
+    return codecs.unreadable(read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("body", body))
+
+
 def round_trip_responses(spark, sf_dir):
     """Sessions through the item format and back: calls, results and texts, but no reasoning of a foreign format."""
     rows = session_messages(read(spark, sf_dir, "events")).filter("content_type <> 'reasoning'")
@@ -297,6 +304,27 @@ def message_listing_sorts(spark, sf_dir):
     return out
 
 
+def _report(spark, sf_dir, scope: str, **how) -> DataFrame:
+    talk = _talk(spark, sf_dir)
+    return status.status_report(talk, coverage.assign_refs(talk), sample_blocks(talk), scope, **how)
+
+
+def status_overview(spark, sf_dir):
+    return _report(spark, sf_dir, "overview")
+
+
+def status_compressed(spark, sf_dir):
+    return _report(spark, sf_dir, "compressed", limit=1)
+
+
+def status_messages(spark, sf_dir):
+    return _report(spark, sf_dir, "messages", sort="time", limit=3)
+
+
+def status_ranges(spark, sf_dir):
+    return _report(spark, sf_dir, "ranges")
+
+
 def queries() -> dict:
     skip = {"queries", "oracle_sql"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
@@ -343,7 +371,31 @@ def oracle_sql() -> dict[str, str]:
     two = f"two AS (SELECT conv_id, CAST(sum({tok('text')}) AS BIGINT) AS tokens, sum(length(text)) AS chars, CAST(sum(CASE turn WHEN 0 THEN {tok('text')} END) AS BIGINT) AS first, CAST(sum(CASE turn WHEN 1 THEN {tok('text')} END) AS BIGINT) AS second FROM conversations WHERE turn < 2 GROUP BY 1), size AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)"
     zone = "z AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2 OR turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS held FROM conversations)"
     hits = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {len(t)}.0" for t in ("license", "under"))
+    fmt = lambda n: f"CASE WHEN {n} < 1000 THEN CAST({n} AS VARCHAR) WHEN {n} % 1000 IN (250, 750) THEN printf('%.1f', ({n} + 1) / 1000.0) || 'K' ELSE printf('%.1f', {n} / 1000.0) || 'K' END"
+    pct = lambda n, t: f"CAST(CASE WHEN {n} <= 0 OR {t} <= 0 THEN 0 ELSE greatest(1, floor({n} * 100.0 / {t} + 0.5)) END AS BIGINT)"
+    seen = f"""{q._TALK}, {q._blocks('talk')}, cov AS (SELECT DISTINCT conv_id, unnest(effective_message_ids) AS id FROM blk WHERE active),
+        vis AS (SELECT t.conv_id, t.ord, 'm' || lpad(CAST(row_number() OVER (PARTITION BY t.conv_id ORDER BY t.ord) AS VARCHAR), 5, '0') AS ref, {tok('t.text')} AS tokens, cov.id IS NOT NULL AS held FROM talk t LEFT JOIN cov ON t.conv_id = cov.conv_id AND t.id = cov.id),
+        v AS (SELECT * FROM vis WHERE NOT held AND tokens > 0),
+        b AS (SELECT *, {tok('summary')} AS s, row_number() OVER (PARTITION BY conv_id ORDER BY compressed_tokens DESC, block_num) AS nth FROM blk WHERE active),
+        sums AS (SELECT conv_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(compressed_tokens) AS BIGINT) AS c, CAST(sum(CASE WHEN tier = 1 THEN s ELSE 0 END) AS BIGINT) AS s1, CAST(sum(CASE WHEN tier = 2 THEN s ELSE 0 END) AS BIGINT) AS s2 FROM b GROUP BY 1),
+        txt AS (SELECT c.conv_id, coalesce(CAST(sum(v.tokens) AS BIGINT), 0) AS t, count(v.ref) AS n FROM (SELECT DISTINCT conv_id FROM talk) c LEFT JOIN v USING (conv_id) GROUP BY 1)"""
+    tiers = f"CASE WHEN s1 > 0 AND s2 > 0 THEN 'T1: ' || {fmt('s1')} || ' | T2: ' || {fmt('s2')} END"
     return {
+        "status_overview": f"""WITH {seen}, l AS (SELECT conv_id, string_agg('  ' || block_id || ' (T' || tier || ')  ' || {fmt('compressed_tokens')} || '→' || {fmt('s')} || '  2 msgs  "' || coalesce(topic, '(no topic)') || '"', chr(10) ORDER BY nth) AS lines FROM b GROUP BY 1),
+            j AS (SELECT txt.conv_id, t, txt.n AS visible, coalesce(s, 0) AS s, c, sums.n AS blocks, lines, {tiers} AS tiers, t + coalesce(s, 0) AS total FROM txt LEFT JOIN sums USING (conv_id) LEFT JOIN l USING (conv_id))
+            SELECT conv_id, 'CONTEXT BREAKDOWN' || chr(10) || '  0 tool (0%) | ' || {fmt('t')} || ' text (' || {pct('t', 'total')} || '%) | ' || {fmt('s')} || ' summaries (' || {pct('s', 'total')} || '%)' || chr(10)
+                || CASE WHEN visible > 0 THEN '  Top tools: text (' || {pct('t', 'total')} || '%)' || chr(10) ELSE '' END || chr(10)
+                || CASE WHEN blocks IS NULL THEN 'COMPRESSED BLOCKS' || chr(10) || '  No compressed blocks.' ELSE 'COMPRESSED BLOCKS — ' || blocks || ' active (' || {fmt('s')} || ' summary, ' || {fmt('c')} || ' original)' || coalesce(chr(10) || '  Tier usage: ' || tiers, '') || chr(10) || chr(10) || lines END
+                || chr(10) || chr(10) || 'Tip: status_report(scope="messages", tool="' || CASE WHEN visible > 0 THEN 'text' ELSE 'bash' END || '") lists the messages' AS text FROM j""",
+        "status_compressed": f"""WITH {seen}, f AS (SELECT * FROM b WHERE nth = 1), j AS (SELECT txt.conv_id, coalesce(sums.n, 0) AS n, coalesce(sums.s, 0) AS s, coalesce(c, 0) AS c, {tiers} AS tiers, f.block_id, f.tier, f.topic, f.compressed_tokens AS fc, f.s AS fs, f.direct_block_ids AS kids FROM txt LEFT JOIN sums USING (conv_id) LEFT JOIN f USING (conv_id))
+            SELECT conv_id, 'COMPRESSED — ' || n || ' blocks | ' || {fmt('c')} || ' original → ' || {fmt('s')} || ' summary' || coalesce(chr(10) || 'Tier usage: ' || tiers, '') || chr(10)
+                || coalesce(chr(10) || '  ' || block_id || ' (T' || tier || ')  ' || {fmt('fc')} || '→' || {fmt('fs')} || '  2 msgs  age=0 young' || CASE WHEN len(kids) > 0 THEN ' nested=[' || array_to_string(kids, ',') || ']' ELSE '' END || chr(10) || '    "' || coalesce(topic, '(no topic)') || '"', '')
+                || CASE WHEN n > 1 THEN chr(10) || chr(10) || '1 of ' || n || ' shown.' ELSE '' END AS text FROM j""",
+        "status_messages": f"""WITH {seen}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS k FROM v), l AS (SELECT conv_id, string_agg('  ' || ref || ' (' || {fmt('tokens')} || ') text', chr(10) ORDER BY k) AS lines FROM r WHERE k <= 3 GROUP BY 1)
+            SELECT conv_id, 'UNCOMPRESSED — ' || {fmt('t')} || ' | ' || n || ' msgs' || chr(10) || 'Sorted by time' || chr(10) || coalesce(chr(10) || lines, '') || CASE WHEN n > 3 THEN chr(10) || chr(10) || '3 of ' || n || ' shown.' ELSE '' END AS text FROM txt LEFT JOIN l USING (conv_id)""",
+        "status_ranges": f"""WITH {seen}, g AS (SELECT *, CAST(substr(ref, 2) AS INT) - row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS run FROM v), r AS (SELECT conv_id, run, min(ref) AS a, max(ref) AS z, count(*) AS k, CAST(sum(tokens) AS BIGINT) AS tokens FROM g GROUP BY 1, 2),
+            l AS (SELECT conv_id, string_agg('  ' || CASE WHEN k = 1 THEN a ELSE a || '–' || z END || '  (' || k || ' msgs, ' || {fmt('tokens')} || CASE WHEN k > 1 THEN ' (' || CAST(floor(tokens * 1.0 / k + 0.5) AS BIGINT) || '/msg)' ELSE '' END || ') text', chr(10) ORDER BY a) AS lines FROM r GROUP BY 1)
+            SELECT conv_id, 'UNCOMPRESSED — ' || {fmt('t')} || ' | ' || n || ' visible messages' || chr(10) || chr(10) || coalesce(lines, '  (no uncompressed messages)') AS text FROM txt LEFT JOIN l USING (conv_id)""",
         "tier_promotion": f"""WITH {two} SELECT conv_id, block_id, tier, active, start_ref, direct, 2 AS covers, children, CAST(coalesce(fixed, tokens) AS BIGINT) AS compressed_tokens FROM two,
             (VALUES ('b1', 1, false, 'm00001', 2, '', NULL), ('b2', 2, false, 'b1', 0, 'b1', 1), ('b3', 3, false, 'b2', 0, 'b2', 1), ('b4', 3, true, 'b3', 0, 'b3', 2)) v(block_id, tier, active, start_ref, direct, children, fixed)""",
         "resumed_calls": f"WITH {two} SELECT conv_id, 2 AS call, 1 AS created, CAST(1 AS BIGINT) AS tokens, tokens + 1 AS in_all, 3 AS next_block FROM two",
@@ -381,6 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "reasoning_widening": f"SELECT conv_id, block_id, direct, n * {tok('text')} AS compressed_tokens FROM conversations, (VALUES ('b1', 'i0,i1,i2', 3), ('b2', 'i4,i5', 2), ('b3', 'i7', 1)) v(block_id, direct, n) WHERE turn = 0",
         "turn_filters": "SELECT conv_id, turn AS ord, CASE WHEN role = 'user' AND turn < max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) THEN '' ELSE replace(text, 'th', 'TH') END AS text FROM conversations",
         "request_kinds": "SELECT DISTINCT conv_id, CASE conv_id % 5 WHEN 0 THEN 'responses' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'anthropic' WHEN 3 THEN 'openai' END AS kind FROM conversations",
+        "unreadable_requests": "SELECT DISTINCT conv_id, CASE conv_id % 4 WHEN 0 THEN 'no JSON' WHEN 2 THEN 'KeyError' ELSE 'TypeError' END AS error FROM conversations WHERE conv_id % 4 <> 1",
         "round_trip_responses": f"WITH {q._SESS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS ord, content_type, tool_call_id, CAST(length(text) AS INT) AS chars FROM sess WHERE content_type <> 'reasoning'",
         "viable_ranges": f"WITH RECURSIVE {q._SESS}, {q._refs('sess')}, {q._CLASS}, {q._FOLD} SELECT conv_id, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM rng WHERE tokens >= 700 GROUP BY 1",
         "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

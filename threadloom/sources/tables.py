@@ -37,6 +37,14 @@ def store_root(spark: SparkSession, label: str) -> str:
     return "file://" + made[len("file:") :] if made.startswith("file:/") and not made.startswith("file://") else made
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows that several steps need, written once to the shared folder: nothing before them runs again, and the
+    plan of what follows starts there."""
+    path = store_root(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def with_ids(messages: DataFrame) -> DataFrame:
     """Content-hash ids; the n-th repeat of one in a conversation, from the second on, gets ``_n``."""
     nth = F.row_number().over(Window.partitionBy("conv_id", "_base").orderBy("ord")) - 1
