@@ -105,6 +105,46 @@ def decide_nudge(turns: DataFrame, config: Config) -> DataFrame:
     return rows.withColumns({"pressure": pressure, "tier": tier.cast("int")}).drop("_grow", "_floor")
 
 
+def explain_nudge(turns: DataFrame, config: Config) -> DataFrame:
+    """:func:`decide_nudge` with what it weighed: reference, step, floor, over_limit, emergency, and ``reason``, which
+    names the tier and what it gives, or every condition that isn't met."""
+    n = config.nudge
+    rows = decide_nudge(turns, config)
+    step = clamp_growth(F.lit(float(config.model_context_limit)), n.growth_ratio, n.growth_floor, n.growth_cap).cast("long")
+    floor = F.greatest(F.lit(float(n.min_growth_floor)), step * n.min_growth_ratio)
+    tiers = ("t1", "t2", "t3") if config.tiers.enabled else ("t1",)
+    most = F.greatest(*tiers) if len(tiers) > 1 else F.col("t1")
+    share = F.concat(F.floor(F.col("usage") * 100 + 0.5).cast("string"), F.lit("%"))
+    given = F.when(F.col("tier") == 1, F.col("t1")).when(F.col("tier") == 2, F.col("t2")).otherwise(F.col("t3"))
+    lately = [F.when((F.col(f"t{k}") >= step) & (F.col(f"shown{k}") > 0) & (F.col("token_count") - F.col(f"shown{k}") < floor), F.lit(f"tier {k} was shown lately")) for k in (2, 3) if config.tiers.enabled]
+    short = F.concat_ws("; ", F.when(most < step, F.concat(F.lit("most to gain "), most, F.lit(" below "), step)), F.when(F.col("growth") < floor, F.concat(F.lit("growth "), F.col("growth"), F.lit(" below "), floor.cast("long"))), *lately)
+    named = F.concat(F.lit("tier "), F.col("tier"), F.lit(": "))
+    reason = (
+        F.when(F.col("tier").isNotNull() & F.col("pressure"), F.concat(named, F.lit("usage "), share))
+        .when(F.col("tier").isNotNull(), F.concat(named, given, F.lit(" tokens to gain")))
+        .when(F.col("pressure"), F.concat(F.lit("nothing to gain at usage "), share))
+        .when(short == "", F.lit("no tier stands out"))
+        .otherwise(short)
+    )
+    return rows.withColumns({"reference": F.col("token_count") - F.col("growth"), "step": step, "floor": floor, "over_limit": F.col("usage") >= n.max_context_limit_pct, "emergency": F.col("usage") >= n.emergency_threshold_pct, "reason": reason})
+
+
+def recap_text(blocks: DataFrame, block_id: str | None = None) -> DataFrame:
+    """(conv_id, text): the heads of a conversation's active blocks, or one block in full."""
+    topic = F.coalesce("topic", F.lit("(none)"))
+    size = F.concat(F.size("effective_message_ids").cast("string"), F.lit(" messages"))
+    if block_id is None:
+        head = F.concat(F.substring("summary", 1, 200), F.when(F.length("summary") > 200, "...").otherwise(""))
+        lines = F.concat(F.lit("\n"), F.col("block_id"), F.lit(" | "), size, F.lit(' | "'), topic, F.lit('"\n  '), head)
+        per = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("active"), F.struct("block_num", lines.alias("line"))))).alias("b"))
+        many = F.concat(F.lit("Active compression blocks ("), F.size("b").cast("string"), F.lit("):\n"), F.array_join(F.col("b.line"), "\n"), F.lit("\n\nName a block to get its full summary."))
+        return per.select("conv_id", F.when(F.size("b") == 0, F.lit("No active compression blocks.")).otherwise(many).alias("text"))
+    live = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("active"), F.struct("block_num", "block_id")))), lambda b: b["block_id"]), ", ")
+    whole = F.concat(F.lit(f"{SUMMARY_HEADER}\n"), F.col("summary"), F.lit(f"\n\n[{block_id} | "), size, F.lit(' | topic: "'), topic, F.lit('"]'))
+    own = F.when(F.col("active"), whole).otherwise(F.lit(f"Block {block_id} is inactive: another block holds its content."))
+    return blocks.groupBy("conv_id").agg(F.coalesce(F.max(F.when(F.col("block_id") == block_id, own)), F.concat(F.lit(f"Block {block_id} not found. Active blocks: "), live)).alias("text"))
+
+
 def recap(blocks: DataFrame) -> DataFrame:
     return blocks.filter("active").select("conv_id", "block_id", "block_num", "tier", F.substring("summary", 1, 200).alias("head"))
 

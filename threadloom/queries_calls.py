@@ -325,6 +325,25 @@ def status_ranges(spark, sf_dir):
     return _report(spark, sf_dir, "ranges")
 
 
+def nudge_reasons(spark, sf_dir):
+    from threadloom.queries import CONFIG
+
+    rows = session_messages(read(spark, sf_dir, "events"))
+    merged = ranges.merged_ranges(ranges.compressible_ranges(rows, coverage.assign_refs(rows), CONFIG), 1500)
+    pending = reports.pending_by_tier(merged, sample_blocks(rows), 1500)
+    turns = pending.withColumns({"token_count": F.col("conv_id") * 677 % 60_000 + 20, "baseline": F.col("conv_id") % 3 * 100, "last_shown": F.lit(0), "shown2": F.lit(0), "shown3": F.lit(0)})
+    return reports.explain_nudge(turns, CONFIG).select("conv_id", F.col("reference").cast("long").alias("reference"), "step", F.col("floor").cast("long").alias("floor"), "over_limit", "emergency", "reason")
+
+
+def recap_texts(spark, sf_dir):
+    return reports.recap_text(sample_blocks(_talk(spark, sf_dir)))
+
+
+def recap_block(spark, sf_dir):
+    """One block in full where it is active, and what is said where it isn't or where there is none."""
+    return reports.recap_text(sample_blocks(_talk(spark, sf_dir)), "b1").unionByName(reports.recap_text(sample_blocks(_talk(spark, sf_dir)), "b3"))
+
+
 def queries() -> dict:
     skip = {"queries", "oracle_sql"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
@@ -396,6 +415,18 @@ def oracle_sql() -> dict[str, str]:
         "status_ranges": f"""WITH {seen}, g AS (SELECT *, CAST(substr(ref, 2) AS INT) - row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS run FROM v), r AS (SELECT conv_id, run, min(ref) AS a, max(ref) AS z, count(*) AS k, CAST(sum(tokens) AS BIGINT) AS tokens FROM g GROUP BY 1, 2),
             l AS (SELECT conv_id, string_agg('  ' || CASE WHEN k = 1 THEN a ELSE a || '–' || z END || '  (' || k || ' msgs, ' || {fmt('tokens')} || CASE WHEN k > 1 THEN ' (' || CAST(floor(tokens * 1.0 / k + 0.5) AS BIGINT) || '/msg)' ELSE '' END || ') text', chr(10) ORDER BY a) AS lines FROM r GROUP BY 1)
             SELECT conv_id, 'UNCOMPRESSED — ' || {fmt('t')} || ' | ' || n || ' visible messages' || chr(10) || chr(10) || coalesce(lines, '  (no uncompressed messages)') AS text FROM txt LEFT JOIN l USING (conv_id)""",
+        "nudge_reasons": f"""SELECT conv_id, CAST(token_count - growth AS BIGINT) AS reference, CAST(5000 AS BIGINT) AS step, CAST(2250 AS BIGINT) AS floor, token_count >= 55000 AS over_limit, token_count >= 98000 AS emergency,
+            CASE WHEN tier IS NOT NULL AND pressure THEN 'tier ' || tier || ': usage ' || CAST(floor(token_count / 1000.0 + 0.5) AS BIGINT) || '%'
+                 WHEN tier IS NOT NULL THEN 'tier ' || tier || ': ' || CASE tier WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END || ' tokens to gain'
+                 WHEN pressure THEN 'nothing to gain at usage ' || CAST(floor(token_count / 1000.0 + 0.5) AS BIGINT) || '%'
+                 WHEN greatest(t1, t2, t3) >= 5000 AND growth >= 2250 THEN 'no tier stands out'
+                 ELSE concat_ws('; ', CASE WHEN greatest(t1, t2, t3) < 5000 THEN 'most to gain ' || greatest(t1, t2, t3) || ' below 5000' END, CASE WHEN growth < 2250 THEN 'growth ' || growth || ' below 2250' END) END AS reason
+            FROM ({q._sql()["nudge_decision"]})""",
+        "recap_texts": f"""WITH {q._TALK}, {q._blocks('talk')} SELECT conv_id, CASE WHEN count(*) FILTER (active) = 0 THEN 'No active compression blocks.' ELSE 'Active compression blocks (' || count(*) FILTER (active) || '):' || chr(10)
+            || string_agg(chr(10) || block_id || ' | 2 messages | "' || coalesce(topic, '(none)') || '"' || chr(10) || '  ' || substr(summary, 1, 200) || CASE WHEN length(summary) > 200 THEN '...' ELSE '' END, chr(10) ORDER BY block_num) FILTER (active) || chr(10) || chr(10) || 'Name a block to get its full summary.' END AS text FROM blk GROUP BY 1""",
+        "recap_block": f"""WITH {q._TALK}, {q._blocks('talk')}, w AS (SELECT *, '[Compressed conversation section]' || chr(10) || summary || chr(10) || chr(10) || '[' || block_id || ' | 2 messages | topic: "' || coalesce(topic, '(none)') || '"]' AS whole FROM blk)
+            SELECT conv_id, CASE WHEN active THEN whole ELSE 'Block b1 is inactive: another block holds its content.' END AS text FROM w WHERE block_id = 'b1'
+            UNION ALL SELECT conv_id, coalesce(max(CASE WHEN block_id = 'b3' THEN whole END), 'Block b3 not found. Active blocks: ' || string_agg(block_id, ', ' ORDER BY block_num) FILTER (active)) FROM w GROUP BY 1""",
         "tier_promotion": f"""WITH {two} SELECT conv_id, block_id, tier, active, start_ref, direct, 2 AS covers, children, CAST(coalesce(fixed, tokens) AS BIGINT) AS compressed_tokens FROM two,
             (VALUES ('b1', 1, false, 'm00001', 2, '', NULL), ('b2', 2, false, 'b1', 0, 'b1', 1), ('b3', 3, false, 'b2', 0, 'b2', 1), ('b4', 3, true, 'b3', 0, 'b3', 2)) v(block_id, tier, active, start_ref, direct, children, fixed)""",
         "resumed_calls": f"WITH {two} SELECT conv_id, 2 AS call, 1 AS created, CAST(1 AS BIGINT) AS tokens, tokens + 1 AS in_all, 3 AS next_block FROM two",
