@@ -56,7 +56,7 @@ def test_lexicon(spark):
     rng = random.Random(4)
     bad, good, plain = ["vile", "vilest", "scum", "idiots"], ["kind", "please", "thanks"], [f"word{i}" for i in range(60)]
     rows, labels = [], []
-    for i in range(240):
+    for i in range(600):
         y = int(rng.random() < 0.4)
         words = [rng.choice(plain) for _ in range(rng.randrange(0, 40))] + [rng.choice(bad if y else good).upper() + "!" for _ in range(rng.randrange(0, 4))]
         rng.shuffle(words)
