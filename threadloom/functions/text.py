@@ -75,7 +75,7 @@ def stem(word: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Latin words of two or more characters, in lower case."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LONGER), F.lit(0))
 
 
 def cjk_tokens(text: Column) -> Column:
@@ -91,6 +91,12 @@ def tokens(text: Column, stemmed: bool = True) -> Column:
     return F.concat(stems(latin) if stemmed else latin, F.when(text.rlike(CJK), cjk_tokens(text)).otherwise(F.array().cast("array<string>")))
 
 
+def n_tokens(text: Column) -> Column:
+    """How many :func:`tokens` a text has, without making them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_count(low, F.lit(LONGER)) + F.when(text.rlike(CJK), F.size(cjk_tokens(text))).otherwise(0)
+
+
 def bigrams(text: Column) -> Column:
     """Character pairs without blanks at their ends; a look-ahead gives overlapping ones in linear time."""
     return F.regexp_extract_all(text, F.lit("(?U)(?=(\\S\\S))"), F.lit(1))

@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, LONGER, cjk_tokens, preview, query_bigrams, query_tokens, stem_rows, stems, tokens
+from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stem, stem_rows, stems, tokens
 from threadloom.sources.tables import store_root, written
 
 # The ranking's constants and weights.
 K1, B = 1.2, 0.75
+#: Words of asked terms that are broadcast to the texts' words at most.
+BROADCAST = 1 << 18
 #: Weights of who speaks, applied after normalisation.
 ROLE_WEIGHTS = {"user": 1.5, "assistant": 1.0, "tool": 0.6, "block": 1.0}
 _ALGORITHMS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
@@ -65,7 +67,8 @@ def postings(docs: DataFrame) -> DataFrame:
     each text's distinct words are stemmed."""
     keys = [c for c in ("conv_id", "ref") if c in docs.columns]
     rows = docs.select(*keys, tokens(F.col("text"), stemmed=False).alias("t"))
-    rows = stem_rows(rows.select(*keys, F.size("t").alias("len"), F.explode("t").alias("term")), "term")
+    # The length comes before the words: no array is copied beside each of its words.
+    rows = stem_rows(rows.select(*keys, F.size("t").alias("len"), "t").select(*keys, "len", F.explode("t").alias("term")), "term")
     return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -73,14 +76,20 @@ def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0
     """BM25 of many queries over many corpora at once: ``asked(conv_id, query_id, query)`` each against the
     documents (conv_id, doc_ord, ref, text) of its conversation alone.  (conv_id, query_id, rank, ref, score).
 
-    Texts are tokenised once whatever the number of queries; only words that a query of the same
-    conversation asks for leave that pass.  A term that a query repeats counts each time; of documents
+    Texts are cut into words twice whatever the number of queries, for the vocabulary and for the words
+    that are asked for; only those leave that pass.  A term that a query repeats counts each time; of documents
     with one reference the first in order is ranked first.
     """
     terms = asked.select("conv_id", "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("conv_id", "query_id", "term").agg(F.count("*").alias("times"))
-    rows = docs.select("conv_id", "doc_ord", "ref", tokens(F.col("text")).alias("t"))
-    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    words_of = rows.select("conv_id", "doc_ord", "ref", F.size("t").alias("len"), F.explode("t").alias("term"))
+    text = F.col("text")
+    sizes = docs.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(n_tokens(text)).alias("avg"))
+    # The vocabulary is stemmed, not the texts; of it only words of asked terms are left.
+    known = docs.select(F.explode(tokens(text, stemmed=False)).alias("word")).distinct().withColumn("term", stem(F.col("word")))
+    known = written(known.join(terms.select("term").distinct(), "term"), "words")
+    if known.count() <= BROADCAST:
+        known = F.broadcast(known)  # else both sides are shuffled by word
+    sized = docs.select("conv_id", "doc_ord", "ref", n_tokens(text).alias("len"), "text")
+    words_of = sized.select("conv_id", "doc_ord", "ref", "len", F.explode(tokens(text, stemmed=False)).alias("word")).join(known, "word")
     tf = words_of.join(terms.select("conv_id", "term").distinct(), ["conv_id", "term"], "left_semi").groupBy("conv_id", "doc_ord", "ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("conv_id", "term").agg(F.count("*").alias("df"))
     parts = tf.join(df, ["conv_id", "term"]).join(sizes, "conv_id").join(terms, ["conv_id", "term"])
@@ -214,7 +223,7 @@ class Index:
             spark.read.parquet(f"{self.at}/documents")
         except AnalysisException:
             rows = written(docs.select(*keys, tokens(F.col("text")).alias("t")), "tokens")
-            words_of = rows.select("ref", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+            words_of = rows.select("ref", F.size("t").alias("len"), "t").select("ref", "len", F.explode("t").alias("term")).groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
             words_of.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("ref"), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.at}/postings")
             rows.select(*keys, F.size("t").alias("len")).write.parquet(f"{self.at}/documents")
         self.documents = spark.read.parquet(f"{self.at}/documents")
