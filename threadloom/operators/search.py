@@ -84,7 +84,8 @@ def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0
     text = F.col("text")
     sizes = docs.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(n_tokens(text)).alias("avg"))
     # The vocabulary is stemmed, not the texts; of it only words of asked terms are left.
-    known = docs.select(F.explode(tokens(text, stemmed=False)).alias("word")).distinct().withColumn("term", stem(F.col("word")))
+    # A term that can't be null, or a filter on it would stem every word before the distinct ones are left.
+    known = docs.select(F.explode(tokens(text, stemmed=False)).alias("word")).distinct().withColumn("term", F.coalesce(stem(F.col("word")), F.lit("")))
     known = written(known.join(terms.select("term").distinct(), "term"), "words")
     if known.count() <= BROADCAST:
         known = F.broadcast(known)  # else both sides are shuffled by word
