@@ -77,8 +77,8 @@ def occurrences(hay: Column, needle: str) -> Column:
 
 
 def percent(part: Column, total: Column) -> Column:
-    """Whole percent, at least 1 for what is there at all."""
-    return F.when((part <= 0) | (total <= 0), 0).otherwise(F.greatest(F.lit(1), F.floor(part / total * 100 + 0.5))).cast("int")
+    """Whole percent, at least 1 for what is there at all.  Times 100 comes first: a share of 28.5 stays one."""
+    return F.when((part <= 0) | (total <= 0), 0).otherwise(F.greatest(F.lit(1), F.floor(part * 100 / total + 0.5))).cast("int")
 
 
 def clamp_growth(limit: Column, ratio: float, floor: int, cap: int) -> Column:

@@ -166,7 +166,7 @@ def format_short(n: int) -> str:
 
 
 def percent(n: float, total: float) -> int:
-    return 0 if n <= 0 or total <= 0 else max(1, int(n / total * 100 + 0.5))
+    return 0 if n <= 0 or total <= 0 else max(1, int(n * 100 / total + 0.5))
 
 
 def bar(value: float, total: float, width: int = 20) -> str:
