@@ -114,7 +114,8 @@ def explain_nudge(turns: DataFrame, config: Config) -> DataFrame:
     floor = F.greatest(F.lit(float(n.min_growth_floor)), step * n.min_growth_ratio)
     tiers = ("t1", "t2", "t3") if config.tiers.enabled else ("t1",)
     most = F.greatest(*tiers) if len(tiers) > 1 else F.col("t1")
-    share = F.concat(F.floor(F.col("usage") * 100 + 0.5).cast("string"), F.lit("%"))
+    limit = config.model_context_limit
+    share = F.concat(F.floor(F.col("token_count") * 100 / limit + 0.5 if limit > 0 else F.lit(0)).cast("string"), F.lit("%"))
     given = F.when(F.col("tier") == 1, F.col("t1")).when(F.col("tier") == 2, F.col("t2")).otherwise(F.col("t3"))
     lately = [F.when((F.col(f"t{k}") >= step) & (F.col(f"shown{k}") > 0) & (F.col("token_count") - F.col(f"shown{k}") < floor), F.lit(f"tier {k} was shown lately")) for k in (2, 3) if config.tiers.enabled]
     short = F.concat_ws("; ", F.when(most < step, F.concat(F.lit("most to gain "), most, F.lit(" below "), step)), F.when(F.col("growth") < floor, F.concat(F.lit("growth "), F.col("growth"), F.lit(" below "), floor.cast("long"))), *lately)
