@@ -163,7 +163,9 @@ def format_tokens(n: float) -> str:
 
 
 def format_short(n: int) -> str:
-    return str(n) if n < 1000 else f"{fixed1(n / 1000)}K" if n < 10_000 else f"{int(n / 1000 + 0.5)}K"
+    """123, 1.2K, 12K; tenths are rounded as whole numbers, as ``coverage.short_count`` does."""
+    tenths = int(n + 50) // 100
+    return str(n) if n < 1000 else f"{tenths // 10}.{tenths % 10}K" if n < 10_000 else f"{int(n / 1000 + 0.5)}K"
 
 
 def percent(n: float, total: float) -> int:
