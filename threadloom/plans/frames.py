@@ -1,4 +1,4 @@
-"""The per-conversation plans over DataFrames: one grouped map for batches of conversations.
+"""The per-conversation plans over DataFrames: a stream of conversations in each task.
 
 A group is one conversation, some thousand messages at most; no group spans conversations, so
 a large source only means more groups.
@@ -7,21 +7,24 @@ a large source only means more groups.
 from __future__ import annotations
 
 import json
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.config import Config
+from threadloom.sources.grouped import by_key
 
 from .fold import Spec, assign_refs, compress, rebuild, specs_of
 from .state import Message, State
 from .turn import TextFilter, Turn, clear_filters, process_turn, register_filter
 
-_FIELDS = ("id", "role", "content_type", "text", "tool_name", "tool_call_id")
+FIELDS = ("id", "role", "content_type", "text", "tool_name", "tool_call_id")
 
 
 def messages_of(pdf: pd.DataFrame) -> list[Message]:
-    rows = pdf.sort_values("ord", kind="stable")[list(_FIELDS)].astype(object)
+    rows = pdf.sort_values("ord", kind="stable")[list(FIELDS)].astype(object)
     return [Message(*r) for r in rows.where(rows.notna(), None).itertuples(index=False)]
 
 
@@ -29,32 +32,30 @@ def turns(messages: DataFrame, config: Config, strategy: str = "all", text_filte
     """The view of each conversation after one turn: (conv_id, ord, id, role, content_type, text, tier, state).
     ``text_filters`` are the turn's filters in order; a registry of the driver's process doesn't reach workers."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group: list[tuple]) -> list[tuple]:
         clear_filters()
         for f in text_filters:
             register_filter(f)
-        rows = messages_of(pdf)
+        rows = [Message(*r[2:]) for r in group]
         count = sum(-(-len(m.body) // 4) for m in rows)
         t = process_turn(rows, State(), config, count, strategy)
         state = json.dumps(t.state.to_json(), ensure_ascii=False, sort_keys=True)
-        out = [(pdf["conv_id"].iloc[0], i, m.id, m.role, m.content_type, m.text, t.effects["nudge"]["tier"], state if i == 0 else None) for i, m in enumerate(t.messages)]
-        return pd.DataFrame(out, columns=["conv_id", "ord", "id", "role", "content_type", "text", "tier", "state"]).astype({"tier": "Int32"})
+        return [(key, i, m.id, m.role, m.content_type, m.text, t.effects["nudge"]["tier"], state if i == 0 else None) for i, m in enumerate(t.messages)]
 
     kind = dict(messages.dtypes)["conv_id"]
-    return messages.groupBy("conv_id").applyInPandas(run, f"conv_id {kind}, ord long, id string, role string, content_type string, text string, tier int, state string")
+    return by_key(messages.select("conv_id", "ord", *FIELDS), "conv_id", ["ord"], run, f"conv_id {kind}, ord long, id string, role string, content_type string, text string, tier int, state string")
 
 
 def rebuilt_blocks(messages: DataFrame, config: Config, now: int = 0) -> DataFrame:
     """Blocks from the compress calls that conversations record."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, _ = rebuild(messages_of(pdf), State(), config, now)
-        rows = [(pdf["conv_id"].iloc[0], b.block_id, b.tier, b.topic, b.summary, b.direct, b.covers, b.children, b.compressed_tokens, b.active, b.start_ref, b.end_ref) for b in state.blocks]
-        return pd.DataFrame(rows, columns=["conv_id", "block_id", "tier", "topic", "summary", "direct_message_ids", "effective_message_ids", "direct_block_ids", "compressed_tokens", "active", "start_ref", "end_ref"])
+    def run(key, group: list[tuple]) -> list[tuple]:
+        state, _ = rebuild([Message(*r[2:]) for r in group], State(), config, now)
+        return [(key, b.block_id, b.tier, b.topic, b.summary, b.direct, b.covers, b.children, b.compressed_tokens, b.active, b.start_ref, b.end_ref) for b in state.blocks]
 
     kind = dict(messages.dtypes)["conv_id"]
     ids = "direct_message_ids array<string>, effective_message_ids array<string>, direct_block_ids array<string>"
-    return messages.groupBy("conv_id").applyInPandas(run, f"conv_id {kind}, block_id string, tier int, topic string, summary string, {ids}, compressed_tokens long, active boolean, start_ref string, end_ref string")
+    return by_key(messages.select("conv_id", "ord", *FIELDS), "conv_id", ["ord"], run, f"conv_id {kind}, block_id string, tier int, topic string, summary string, {ids}, compressed_tokens long, active boolean, start_ref string, end_ref string")
 
 
 _CALL = ["call", "pos", "start_ref", "end_ref", "summary", "topic", "call_id"]
@@ -68,30 +69,37 @@ def apply_calls(messages: DataFrame, calls: DataFrame, config: Config, states: D
     conversation has none.  Calls on a conversation without messages fail by themselves.
     (conv_id, call, created, tokens, errors, warnings, state JSON).
     """
-    # A key of its own name: calls may come from the same rows as messages.
-    given = calls.select(F.col("conv_id").alias("_conv"), *[F.col(c) if c in calls.columns else F.lit(None).cast("string").alias(c) for c in _CALL], F.lit(None).cast("string").alias("state"))
+    # One table of three kinds of rows, in this order within a conversation: state before, messages, ranges of calls.
+    none = lambda rows, names: [F.lit(None).cast(rows.schema[c].dataType if c in rows.columns else "string").alias(c) for c in names]
+    shape = ["conv_id", "_kind", "ord", *FIELDS, *_CALL, "state"]
+    parts = [
+        messages.join(calls.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.lit(1).alias("_kind"), "ord", *FIELDS, *none(calls, _CALL), F.lit(None).cast("string").alias("state")),
+        calls.select("conv_id", F.lit(2).alias("_kind"), *none(messages, ["ord", *FIELDS]), *[F.col(c) if c in calls.columns else F.lit(None).cast("string").alias(c) for c in _CALL], F.lit(None).cast("string").alias("state")),
+    ]
     if states is not None:
-        none = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in _CALL]
-        known = states.join(calls.select("conv_id").distinct(), "conv_id", "left_semi")
-        given = given.unionByName(known.select(F.col("conv_id").alias("_conv"), *none, "state"))
-    columns = ["conv_id", "call", "created", "tokens", "errors", "warnings", "state"]
-
-    def run(key: tuple, talk: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        old = asked["state"].dropna()
-        state = State.from_json(json.loads(old.iloc[0])) if len(old) else State()
-        rows = messages_of(talk) if len(talk) else []
+        parts.append(states.select("conv_id", F.lit(0).alias("_kind"), *none(messages, ["ord", *FIELDS]), *none(calls, _CALL), "state"))
+    every = parts[0].select(shape)
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    text, call = shape.index("id"), shape.index("call")
+
+    def run(key, group: list[tuple]) -> list[tuple]:
+        asked = [r[call : call + len(_CALL)] for r in group if r[1] == 2 and r[call] is not None]
+        if not asked:
+            return []
+        old = next((r[-1] for r in group if r[1] == 0 and r[-1] is not None), None)
+        state = State() if old is None else State.from_json(json.loads(old))
+        rows = [Message(*r[text : text + len(FIELDS)]) for r in group if r[1] == 1]
         state.refs = assign_refs(rows, state, config)
         out = []
-        asked = asked[asked["call"].notna()].sort_values(["call", "pos"], kind="stable").astype(object)
-        for call, specs in asked.where(asked.notna(), None).groupby("call", sort=True):
-            done = compress([Spec(r.start_ref, r.end_ref, r.summary, r.topic, r.call_id) for r in specs.itertuples(index=False)], rows, state, config, now=now)
+        for at, specs in groupby(asked, lambda r: r[0]):
+            done = compress([Spec(*r[2:]) for r in specs], rows, state, config, now=now)
             state = done.state
-            out.append((key[0], call, done.created, done.tokens, done.errors, done.warnings, json.dumps(state.to_json(), ensure_ascii=False)))
-        return pd.DataFrame(out, columns=columns)
+            out.append((key, at, done.created, done.tokens, done.errors, done.warnings, json.dumps(state.to_json(), ensure_ascii=False)))
+        return out
 
     kinds = dict(messages.dtypes)["conv_id"], dict(calls.dtypes)["call"]
-    named = messages.join(calls.select("conv_id").distinct(), "conv_id", "left_semi")
-    return named.groupBy("conv_id").cogroup(given.groupBy("_conv")).applyInPandas(run, f"conv_id {kinds[0]}, call {kinds[1]}, created int, tokens long, errors array<string>, warnings array<string>, state string")
+    return by_key(every, "conv_id", ["_kind", "ord", "call", "pos"], run, f"conv_id {kinds[0]}, call {kinds[1]}, created int, tokens long, errors array<string>, warnings array<string>, state string")
 
 
 def blocks_of(states: DataFrame) -> DataFrame:
@@ -118,19 +126,28 @@ def fold_request(rows: list[Message], state: State, config: Config, strategy: st
 
 def turn_sequence(requests: DataFrame, config: Config) -> DataFrame:
     """All requests of each conversation in order, the state going from one to the next: ``requests`` are
-    messages with a column ``request``, each with the whole conversation at that time.
+    messages with a column ``request``, each with the whole conversation at that time.  Messages without that column
+    make a request each, named by its ``ord``: the conversation up to it.
     (conv_id, request, messages, token_count, growth, baseline, last_shown, tier, active, lost)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
-        for request, rows in pdf.groupby("request", sort=True):
-            t, count = fold_request(messages_of(rows), state, config)
+    growing = "request" not in requests.columns
+
+    def asked(group: list[tuple]):
+        if growing:
+            rows = [Message(*r[3:]) for r in group]
+            yield from ((at, rows[: list(same)[-1][0] + 1]) for at, same in groupby(enumerate(group), lambda r: r[1][1]))
+        else:
+            yield from ((at, [Message(*r[3:]) for r in rows]) for at, rows in groupby(group, lambda r: r[1]) if at is not None)
+
+    def run(key, group: list[tuple]):
+        state = State()
+        for request, rows in asked(group):
+            t, count = fold_request(rows, state, config)
             state = t.state
-            out.append(decided(pdf["conv_id"].iloc[0], request, rows, t, count))
-        return pd.DataFrame(out, columns=DECIDED).astype({"tier": "Int32"})
+            yield decided(key, request, rows, t, count)
 
-    kinds = dict(requests.dtypes)["conv_id"], dict(requests.dtypes)["request"]
-    return requests.groupBy("conv_id").applyInPandas(run, decided_schema(*kinds))
+    rows = requests.select("conv_id", F.col("ord").alias("request") if growing else "request", "ord", *FIELDS)
+    kinds = dict(rows.dtypes)["conv_id"], dict(rows.dtypes)["request"]
+    return by_key(rows, "conv_id", ["request", "ord"], run, decided_schema(*kinds))
 
 
 DECIDED = ["conv_id", "request", "messages", "token_count", "growth", "baseline", "last_shown", "tier", "active", "lost"]
@@ -140,7 +157,7 @@ def decided_schema(conv: str, request: str) -> str:
     return f"conv_id {conv}, request {request}, messages long, token_count long, growth long, baseline long, last_shown long, tier int, active array<string>, lost array<string>"
 
 
-def decided(conv, request, rows: pd.DataFrame, t: Turn, count: int) -> tuple:
+def decided(conv, request, rows, t: Turn, count: int) -> tuple:
     """A row of what a turn decided."""
     n, s = t.effects["nudge"], t.state
     return conv, request, len(rows), count, n["growth"], s.baseline, s.last_shown, n["tier"], [b.block_id for b in s.live], t.effects["deactivated"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 # Fixed values of the message format.
 BLOCKED = "BLOCKED"
@@ -109,7 +109,8 @@ class State:
         return cls(**known)
 
     def copy(self) -> State:
-        return State.from_json(self.to_json())
+        blocks = [replace(b, direct=list(b.direct), covers=list(b.covers), children=list(b.children)) for b in self.blocks]
+        return replace(self, blocks=blocks, refs=dict(self.refs), snapshot=dict(self.snapshot), shown=dict(self.shown))
 
 
 def units(s: str) -> int:

@@ -108,14 +108,9 @@ def recent_protection(spark, sf_dir):
 NUDGED = OPEN.with_(nudge=Nudge(0.55, 0.45, 0.05, 60, 60, 40, 0.45, 0.98))
 
 
-def _requests(talk: DataFrame) -> DataFrame:
-    """A request for each message: the conversation up to it."""
-    return talk.select("conv_id", F.col("ord").alias("request")).join(talk, "conv_id").filter("ord <= request")
-
-
 def turn_nudges(spark, sf_dir):
     """Growth, baseline and nudges over the turns of each conversation."""
-    return frames.turn_sequence(_requests(_talk(spark, sf_dir)), NUDGED).select("conv_id", "request", "messages", "token_count", "growth", "baseline", "last_shown", "tier")
+    return frames.turn_sequence(_talk(spark, sf_dir), NUDGED).select("conv_id", "request", "messages", "token_count", "growth", "baseline", "last_shown", "tier")
 
 
 def vanished_messages(spark, sf_dir):

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.config import Config
-from threadloom.plans.frames import DECIDED, decided, decided_schema, fold_request, messages_of
-from threadloom.plans.state import State
+from threadloom.plans.frames import DECIDED, FIELDS, decided, decided_schema, fold_request, messages_of
+from threadloom.plans.state import Message, State
 from threadloom.plans.turn import process_turn
+from threadloom.sources.grouped import by_key
 
 _OUT = "conv_id {kind}, messages long, token_count long, refs long, baseline long, tier int"
 
@@ -21,8 +22,6 @@ _OUT = "conv_id {kind}, messages long, token_count long, refs long, baseline lon
 def _advance(rows: list, seen: list[dict], state: State, config: Config) -> tuple[list[dict], State, int | None, int]:
     known = {m["id"] for m in seen}
     seen = seen + [vars(m) for m in rows if m.id not in known]
-    from threadloom.plans.state import Message
-
     whole = [Message(**m) for m in seen]
     count = sum(-(-len(m.body) // 4) for m in whole)
     t = process_turn(whole, state, config, count, "none")
@@ -50,12 +49,11 @@ def batch_turns(messages: DataFrame, config: Config) -> DataFrame:
     """The same over a finished table: each conversation as one micro-batch."""
     kind = dict(messages.dtypes)["conv_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, state, tier, count = _advance(messages_of(pdf), [], State(), config)
-        out = pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "messages": [len(seen)], "token_count": [count], "refs": [len(state.refs)], "baseline": [state.baseline], "tier": [tier]})
-        return out.astype({"tier": "Int32"})
+    def run(key, group: list[tuple]) -> list[tuple]:
+        seen, state, tier, count = _advance([Message(*r[2:]) for r in group], [], State(), config)
+        return [(key, len(seen), count, len(state.refs), state.baseline, tier)]
 
-    return messages.groupBy("conv_id").applyInPandas(run, _OUT.format(kind=kind))
+    return by_key(messages.select("conv_id", "ord", *FIELDS), "conv_id", ["ord"], run, _OUT.format(kind=kind))
 
 
 def stream_requests(requests: DataFrame, config: Config, idle: str | None = None) -> DataFrame:
