@@ -103,3 +103,13 @@ def test_what_is_left_out(spark, tmp_path):
     assert good == [("d", 2, 1, '{"n":1}'), ("old", store.VERSION, 9, "3")]
     assert {r.file: r.reason for r in store.skipped(spark, root, strict_names=False, **how).collect()} == {"1.json": "corrupt", "2.json": "no envelope", "3.json": "invalid", "7.json": "no envelope"}
     assert {r.reason for r in store.skipped(spark, root).filter("file = '3.json'").collect()} == {"name does not match"}
+
+
+def test_texts_are_put_as_they_are(spark, tmp_path):
+    """One file each, in the folders they name; no folder and no table for a row."""
+    rows = spark.range(200).selectExpr("concat('old/', id % 4, '/', id, '.json') AS place", "concat('{', id, char(10), 'x') AS text")
+    root = f"file://{tmp_path}/texts"
+    assert store.put_texts(rows, root) == 200 and store.put_texts(rows, root) == 200
+    files = sorted(p.relative_to(tmp_path / "texts").as_posix() for p in (tmp_path / "texts").rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert files == sorted(f"old/{i % 4}/{i}.json" for i in range(200))
+    assert (tmp_path / "texts/old/3/7.json").read_text() == "{7\nx"

@@ -154,8 +154,9 @@ def state_store_legacy(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id").distinct()
     text = F.when(k == 0, F.to_json(F.struct(F.col("conv_id").cast("string").alias("session"), F.lit(7).alias("turns")))).when(k == 1, F.lit("{broken")).when(k == 2, F.to_json(F.struct(F.lit(2).alias("version"), F.lit(1).alias("savedAt"), F.col("conv_id").cast("string").alias("id"), F.struct(F.lit(-1).alias("turns")).alias("payload"))))
     text = text.otherwise(F.to_json(F.struct(F.lit(2).alias("version"), F.lit(1).alias("savedAt"), F.col("conv_id").cast("string").alias("id"), F.struct("conv_id").alias("payload"))))
-    # A text table gives a file for each of its partitions; names are no concern here.
-    rows.select(text.alias("value"), "conv_id").write.partitionBy("conv_id").text(f"{root}/old")
+    # Names are no concern here; folders are listed in parallel.
+    place = F.concat(F.lit("old/"), F.pmod(F.xxhash64("conv_id"), F.lit(64)).cast("string"), F.lit("/"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), F.lit(".json"))
+    store.put_texts(rows.select(place.alias("place"), text.alias("text")), root)
     adopt = lambda v: F.struct(F.try_variant_get(v, "$.session", "string").alias("id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("long").alias("saved_at"), F.when(F.try_variant_get(v, "$.session", "string").isNotNull(), F.to_json(F.struct(F.try_variant_get(v, "$.turns", "int").alias("turns")))).alias("payload"))
     how = {"adopt": adopt, "valid": lambda i, p: F.coalesce(F.get_json_object(p, "$.turns").cast("int"), F.lit(0)) >= 0}
     raw = spark.read.option("recursiveFileLookup", True).text(f"{root}/old", wholetext=True)

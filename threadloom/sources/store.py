@@ -36,14 +36,18 @@ def safe_path(path: str) -> str:
     return "/".join(p for p in parts if p not in ("", "."))
 
 
-def _put(store, base: str, place: str, own: str, state_id: str, payload, now: int, tries: int = 3) -> None:
-    """One envelope, whole or not at all; a place that is locked for a moment is tried again."""
+def _put(store, base: str, place: str, own: str, state_id: str, payload, now: int) -> None:
+    _put_text(store, base, place, own, json.dumps({"version": VERSION, "savedAt": now, "id": state_id, "payload": payload}, ensure_ascii=False))
+
+
+def _put_text(store, base: str, place: str, own: str, text: str, tries: int = 3) -> None:
+    """One file, whole or not at all; a place that is locked for a moment is tried again."""
     folder, _, name = f"{base}/{place}".rpartition("/")
     store.create_dir(folder, recursive=True)
     temp = f"{folder}/.tmp-{own}-{name}"
     try:
         with store.open_output_stream(temp) as out:
-            out.write(json.dumps({"version": VERSION, "savedAt": now, "id": state_id, "payload": payload}, ensure_ascii=False).encode())
+            out.write(text.encode())
         for n in range(tries):
             try:
                 return store.move(temp, f"{folder}/{name}")
@@ -97,6 +101,24 @@ def save(states: DataFrame, root: str, now: int, path_of=None, order: str | None
     return last.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def put_texts(files: DataFrame, root: str) -> int:
+    """Write ``files(place, text)`` as they are, each below ``root``, and return how many that are.  The tasks that
+    hold the rows write them: a partitioned table would be a folder, a commit and a move by the driver for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        for pdf in batches:
+            for place, text in zip(pdf["place"], pdf["text"], strict=True):
+                _put_text(store, base, safe_path(place), str(attempt), text)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return files.select("place", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 class Saver:
     """Debounced saving from one process: requests for an id within ``wait`` seconds are one write, of what
     ``build`` gives when it is written.  A failed write is logged and leaves the old file."""
