@@ -35,3 +35,15 @@ def test_many_queries_equal_single_ones(spark):
         best = search.top_k(search.bm25(docs.filter(f"conv_id = '{conv}'"), query), 5).collect()
         assert sorted(got.pop((conv, number))) == [(i + 1, r.ref, round(r.score, 9)) for i, r in enumerate(best)]
     assert not got
+
+
+def test_embeddings_are_asked_for_in_small_parts(spark):
+    """No call of the caller's embedding gets more than 512 texts; it was a whole batch of ten thousand rows."""
+    search.register_semantic(lambda texts: [[1.0, float(len(texts))] for _ in texts], "parts")
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_ord", "cast(id AS string) AS ref", "'block' AS kind", "cast(null AS string) AS role", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        scores = [r.score for r in search.search(docs, "x", "parts", k=3000, least=-2.0).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(scores) == 3000 and min(scores) > (1 + 512) / (2**0.5 * (1 + 512**2) ** 0.5) - 1e-9

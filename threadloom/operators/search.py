@@ -7,18 +7,17 @@ For many queries over one corpus, :func:`postings` is the index; for many corpor
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
 from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stem, stem_rows, stems, tokens
+from threadloom.sources import grouped
 from threadloom.sources.tables import store_root, written
 
 # The ranking's constants and weights.
@@ -177,33 +176,25 @@ def semantic(vectors: DataFrame, query: list[float], column: str = "embedding")
 def register_semantic(embed: Callable[[list[str]], list[list[float]]], name: str = "semantic") -> None:
     """An algorithm of embeddings that the caller makes: ``embed(texts)`` gives a vector each.
 
-    It runs in batches on the executors, once for each distinct text, whatever the number of documents that
-    share it; vectors are remembered in a worker by the text's hash.  A vector of zeros scores 0.
+    It runs in batches of a bounded size on the executors, once for each distinct text, whatever the number of documents
+    that share it; texts are told apart by their SHA-256, so documents meet their scores without them.  A vector of zeros
+    scores 0.
     """
-
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-        new = {k: t for k, t in zip(keys, texts, strict=True) if (name, k) not in _vectors}
-        if len(_vectors) > VECTORS:
-            _vectors.clear()
-            new = dict(zip(keys, texts, strict=True))
-        if new:
-            _vectors.update({(name, k): [float(x) for x in v] for k, v in zip(new, embed(list(new.values())), strict=True)})
-        return pd.Series([_vectors[name, k] for k in keys])
+    schema = "_key string, _vector array<double>"
 
     def score(docs: DataFrame, query: str) -> DataFrame:
-        text = F.coalesce("text", F.lit(""))
-        known = docs.select(text.alias("_text")).distinct().withColumn("_vector", vectors("_text"))
-        scored = semantic(known, embed([query])[0], "_vector").select("_text", "score")
-        return docs.join(scored, text == F.col("_text")).drop("_text")
+        text, shape = F.coalesce("text", F.lit("")), grouped.arrow_schema(schema)
+        keyed = docs.withColumn("_key", F.sha2(text, 256))
 
-    register(name, score)
+        def stream(batches):
+            found = ((k, [float(x) for x in v]) for part in grouped.some(grouped.texts(batches)) for (k, _), v in zip(part, embed([t for _, t in part]), strict=True))
+            return grouped.batched(found, shape)
 
+        known = keyed.select("_key", text.alias("_text")).dropDuplicates(["_key"])
+        scored = semantic(grouped.pieces(known, "_key", "_text").mapInArrow(stream, schema), embed([query])[0], "_vector").select("_key", "score")
+        return keyed.join(scored, "_key").select(*docs.columns, "score")
 
-#: Vectors that a worker remembers at most.
-VECTORS = 100_000
-_vectors: dict[tuple[str, bytes], list[float]] = {}
+    register(name, score)
 
 
 class Index:

@@ -42,7 +42,7 @@ def batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, str))
+        size += sum(len(v) * (8 if isinstance(v, list) else 1) for v in row if isinstance(v, (str, list)))
         if len(held) >= ROWS or size >= CHARS:
             yield made()
             held, size = [], 0
@@ -66,29 +66,48 @@ def by_key(rows: DataFrame, key: str, order: list[str | Column], run: Callable[[
     return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(stream, schema)
 
 
+def pieces(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows' keys and texts for :func:`texts`.  Texts of any length go in pieces, so that a batch has a bounded size:
+    without that, ten thousand rows are one batch, whatever they hold."""
+    cut = F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    return rows.select(F.col(key).alias("_key"), cut.alias("_cut")).select("_key", F.posexplode_outer("_cut").alias("_pos", "_piece"))
+
+
+def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, str | None]]:
+    """(key, text) of each row behind :func:`pieces`."""
+    held: list = []
+    for batch in batches:
+        for k, pos, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if not pos and held:
+                yield held[0], "".join(held[1:])
+                held = []
+            if pos is None:
+                yield k, None
+            else:
+                held = held or [k]
+                held.append(piece)
+    if held:
+        yield held[0], "".join(held[1:])
+
+
+def some(rows: Iterable[tuple[object, str | None]], most: int = 512) -> Iterator[list[tuple[object, str | None]]]:
+    """Rows of (key, text) together: ``most`` of them, or ``CHARS`` characters and one row more."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if len(held) >= most or size >= CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def by_text(rows: DataFrame, key: str, text: str, run: Callable[[object, str | None], Iterable[tuple]], schema: str) -> DataFrame:
-    """``run(key, text)`` for each row.  Texts of any length go in pieces, so that a batch has a bounded size: without
-    that, ten thousand rows are one batch, whatever they hold."""
+    """``run(key, text)`` for each row."""
     shape = arrow_schema(schema)
-    cut = F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
-    pieces = rows.select(F.col(key).alias("_key"), cut.alias("_cut")).select("_key", F.posexplode_outer("_cut").alias("_pos", "_piece"))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str | None]]:
-        held: list = []
-        for batch in batches:
-            for k, pos, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not pos and held:
-                    yield held[0], "".join(held[1:])
-                    held = []
-                if pos is None:
-                    yield k, None
-                else:
-                    held = held or [k]
-                    held.append(piece)
-        if held:
-            yield held[0], "".join(held[1:])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched((out for k, t in texts(batches) for out in run(k, t)), shape)
 
-    return pieces.mapInArrow(stream, schema)
+    return pieces(rows, key, text).mapInArrow(stream, schema)
