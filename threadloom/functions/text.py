@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Set
+from itertools import filterfalse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +122,61 @@ def stem_word(w: str) -> str:
     return w
 
 
+#: All bytes but the word signs become blanks.
+_SIGNS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_" else 32 for b in range(256))
+#: What runs of word signs have been stemmed to in this process: as many are kept, each of so many bytes, at most.
+_known: dict[bytes, str] = {}
+KNOWN, RUN = 1 << 18, 64
+
+
+def _term_of(run: bytes) -> str:
+    """A run of word signs is one word from its first letter to its last letter or digit; empty if that is no word."""
+    if (term := _known.get(run)) is None:
+        word = run.lstrip(b"0123456789_").rstrip(b"_").decode("ascii")
+        term = stem_word(word) if len(word) >= 2 else ""
+        if len(run) <= RUN:
+            if len(_known) >= KNOWN:
+                _known.clear()
+            _known[run] = term
+    return term
+
+
+def count_terms(low: str, only: Set[str] | None = None) -> tuple[int, dict[str, int]]:
+    """(number of tokens, terms by how often they occur) of a lower-case text, those in ``only`` if it is given: what
+    :func:`tokens` has, counted in one go."""
+    runs = low.encode("utf-8", "surrogatepass").translate(_SIGNS).split()
+    found = Counter(map(_known.get, runs))
+    if found.pop(None, 0):
+        for run, times in Counter(filterfalse(_known.__contains__, runs)).items():
+            found[_term_of(run)] += times
+    found.pop("", 0)
+    for run in [] if low.isascii() else re.findall(f"{CJK}+", low):
+        found.update([run[i : i + 2] for i in range(len(run) - 1)] + list(run))
+    return sum(found.values()), found if only is None else {t: found[t] for t in found.keys() & only}
+
+
+def term_counts(text: Column, only: Iterable[str] | None = None, parts: Iterable[str] = ()) -> Column:
+    """struct(len, terms, tf, parts): how many tokens a text has, its distinct terms and how often each occurs, and how
+    many of ``parts`` are in it.  Each text is counted where it is, so its words are no rows until they are counted."""
+    only, parts = None if only is None else frozenset(only), tuple(parts)
+
+    @F.arrow_udf("struct<len: int, terms: array<string>, tf: array<int>, parts: int>")
+    def run(texts: pa.Array) -> pa.Array:
+        sizes, ends, terms, times, within = [], [0], [], [], []
+        for low in (t.as_py() for t in texts):
+            n, found = count_terms(low, only)
+            sizes.append(n)
+            within.append(sum(p in low for p in parts))
+            terms += found
+            times += found.values()
+            ends.append(len(terms))
+        ends = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, a) for a in (pa.array(terms, pa.string()), pa.array(times, pa.int32()))]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *lists, pa.array(within, pa.int32())], ["len", "terms", "tf", "parts"])
+
+    return run(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def query_tokens(query: str, stemmed: bool = True) -> list[str]:
     low = query.lower()
     out = [stem_word(w) if stemmed else w for w in re.findall(WORD, low) if len(w) >= 2]

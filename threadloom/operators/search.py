@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stem, stem_rows, stems, tokens
+from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stem, stems, term_counts, tokens
 from threadloom.sources import grouped
 from threadloom.sources.tables import store_root, written
 
@@ -61,14 +61,20 @@ def conversation_docs(messages: DataFrame, blocks: DataFrame) -> DataFrame:
     return block_docs(blocks).unionByName(message_docs(messages))
 
 
+def _exploded(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, len, term, tf) of rows with ``_found``, what ``term_counts`` gives."""
+    pairs = F.inline(F.arrays_zip(F.col("_found.terms").alias("term"), F.col("_found.tf").alias("tf")))
+    return rows.select(*keys, F.col("_found.len").alias("len"), pairs).select(*keys, "len", "term", F.col("tf").cast("long").alias("tf"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(conv_id if docs have it, ref, term, tf, len): the index for many queries.  Words are counted first, and
-    each text's distinct words are stemmed."""
+    """(conv_id if docs have it, ref, term, tf, len): the index for many queries.  A text is counted where it is, and
+    nothing is shuffled; only where references repeat, their documents' rows meet as one."""
     keys = [c for c in ("conv_id", "ref") if c in docs.columns]
-    rows = docs.select(*keys, tokens(F.col("text"), stemmed=False).alias("t"))
-    # The length comes before the words: no array is copied beside each of its words.
-    rows = stem_rows(rows.select(*keys, F.size("t").alias("len"), "t").select(*keys, "len", F.explode("t").alias("term")), "term")
-    return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    rows = _exploded(docs.select(*keys, term_counts(F.col("text")).alias("_found")), *keys)
+    if docs.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return rows.select(*keys, "term", "tf", "len")
+    return rows.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
 
 
 def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0.01) -> DataFrame:
