@@ -52,6 +52,30 @@ def test_postings_of_repeated_references_are_one(spark):
     assert got == {("a", "red"): 3, ("a", "apple"): 1, ("a", "pear"): 1, (None, "red"): 2, ("b", "red"): 1}
 
 
+def test_many_queries_read_texts_once(spark):
+    """Texts were cut into words for the sizes, the vocabulary and the counts."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    docs = spark.range(40).coalesce(1).select(F.lit("c").alias("conv_id"), F.col("id").alias("doc_ord"), F.col("id").alias("ref"), F.concat(F.lit("red apples "), F.col("id").cast("string")).alias("text"))
+    docs = docs.withColumn("text", told.asNondeterministic()("text"))
+    asked = spark.createDataFrame([("c", "1", "red"), ("c", "2", "an apple")], "conv_id string, query_id string, query string")
+    assert search.search_many(docs, asked, k=3).count() == 6 and read.value == 40
+
+
+def test_more_terms_than_go_along(spark, monkeypatch):
+    docs = corpus(spark).withColumn("conv_id", F.col("ref") % 3)
+    asked = spark.createDataFrame([(i, "1", "licenses ab 苹果") for i in range(3)], "conv_id long, query_id string, query string")
+    rows = lambda: sorted((*r[:4], round(r.score, 9)) for r in search.search_many(docs, asked, k=5).collect())
+    few = rows()
+    monkeypatch.setattr(search, "ASKED", 1)
+    assert few and rows() == few
+
+
 def test_texts_reach_the_count_in_bounded_batches(spark):
     """Long texts don't make a batch of ten thousand of them: what Python holds at once is bounded by bytes."""
 

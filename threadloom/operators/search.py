@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stem, stems, term_counts, tokens
+from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stems, term_counts, tokens
 from threadloom.sources import grouped
 from threadloom.sources.tables import store_root, written
 
 # The ranking's constants and weights.
 K1, B = 1.2, 0.75
-#: Words of asked terms that are broadcast to the texts' words at most.
-BROADCAST = 1 << 18
+#: Asked terms that go along to the texts at most; of more, all terms of the texts are counted.
+ASKED = 1 << 18
 #: Weights of who speaks, applied after normalisation.
 ROLE_WEIGHTS = {"user": 1.5, "assistant": 1.0, "tool": 0.6, "block": 1.0}
 _ALGORITHMS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
@@ -81,22 +81,16 @@ def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0
     """BM25 of many queries over many corpora at once: ``asked(conv_id, query_id, query)`` each against the
     documents (conv_id, doc_ord, ref, text) of its conversation alone.  (conv_id, query_id, rank, ref, score).
 
-    Texts are cut into words twice whatever the number of queries, for the vocabulary and for the words
-    that are asked for; only those leave that pass.  A term that a query repeats counts each time; of documents
-    with one reference the first in order is ranked first.
+    Texts are counted once whatever the number of queries, and only counts of terms that are asked for leave that pass
+    (all counts, if more than ``ASKED`` are).  A term that a query repeats counts each time; of documents with one
+    reference the first in order is ranked first.
     """
     terms = asked.select("conv_id", "query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("conv_id", "query_id", "term").agg(F.count("*").alias("times"))
-    text = F.col("text")
-    sizes = docs.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg(n_tokens(text)).alias("avg"))
-    # The vocabulary is stemmed, not the texts; of it only words of asked terms are left.
-    # A term that can't be null, or a filter on it would stem every word before the distinct ones are left.
-    known = docs.select(F.explode(tokens(text, stemmed=False)).alias("word")).distinct().withColumn("term", F.coalesce(stem(F.col("word")), F.lit("")))
-    known = written(known.join(terms.select("term").distinct(), "term"), "words")
-    if known.count() <= BROADCAST:
-        known = F.broadcast(known)  # else both sides are shuffled by word
-    sized = docs.select("conv_id", "doc_ord", "ref", n_tokens(text).alias("len"), "text")
-    words_of = sized.select("conv_id", "doc_ord", "ref", "len", F.explode(tokens(text, stemmed=False)).alias("word")).join(known, "word")
-    tf = words_of.join(terms.select("conv_id", "term").distinct(), ["conv_id", "term"], "left_semi").groupBy("conv_id", "doc_ord", "ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    known = [r.term for r in terms.select("term").distinct().limit(ASKED + 1).collect()]
+    own = ["conv_id", "doc_ord", "ref"]
+    rows = written(docs.select(*own, term_counts(F.col("text"), known if len(known) <= ASKED else None).alias("_found")), "counts")
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg("_found.len").alias("avg"))
+    tf = _exploded(rows, *own).join(terms.select("conv_id", "term").distinct(), ["conv_id", "term"], "left_semi").groupBy(*own, "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("conv_id", "term").agg(F.count("*").alias("df"))
     parts = tf.join(df, ["conv_id", "term"]).join(sizes, "conv_id").join(terms, ["conv_id", "term"])
     norm = K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif("avg", F.lit(0.0)), F.lit(1.0)))
