@@ -52,6 +52,14 @@ def test_postings_of_repeated_references_are_one(spark):
     assert got == {("a", "red"): 3, ("a", "apple"): 1, ("a", "pear"): 1, (None, "red"): 2, ("b", "red"): 1}
 
 
+def test_an_index_writes_no_words(spark, monkeypatch):
+    """Whole token arrays of all texts were written first, and postings were shuffled twice."""
+    made = []
+    monkeypatch.setattr(search, "written", lambda rows, label: made.append(label) or tables.written(rows, label))
+    index = search.Index(corpus(spark).select("ref", "text"))
+    assert index.bm25("licenses").count() > 0 and not made
+
+
 def test_many_queries_read_texts_once(spark):
     """Texts were cut into words for the sizes, the vocabulary and the counts."""
     read = spark.sparkContext.accumulator(0)

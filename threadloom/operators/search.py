@@ -214,10 +214,10 @@ class Index:
         try:
             spark.read.parquet(f"{self.at}/documents")
         except AnalysisException:
-            rows = written(docs.select(*keys, tokens(F.col("text")).alias("t")), "tokens")
-            words_of = rows.select("ref", F.size("t").alias("len"), "t").select("ref", "len", F.explode("t").alias("term")).groupBy("ref", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-            words_of.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("ref"), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.at}/postings")
-            rows.select(*keys, F.size("t").alias("len")).write.parquet(f"{self.at}/documents")
+            # One shuffle puts a bucket's postings together; each task's come sorted, as the files want them.
+            rows = postings(docs.select("ref", "text")).withColumn("bucket", self._bucket(F.col("term")))
+            rows.repartition("bucket", F.pmod(F.xxhash64("ref"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.at}/postings")
+            docs.select(*keys, n_tokens(F.col("text")).alias("len")).write.parquet(f"{self.at}/documents")
         self.documents = spark.read.parquet(f"{self.at}/documents")
 
     def _bucket(self, term: Column) -> Column:
