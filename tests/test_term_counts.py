@@ -84,6 +84,24 @@ def test_more_terms_than_go_along(spark, monkeypatch):
     assert few and rows() == few
 
 
+def test_one_query_counts_without_patterns(spark):
+    """Hybrid and BM25 scores come of one count a text, not of patterns and lists of words."""
+    docs = corpus(spark).withColumns({"kind": F.lit("message"), "role": F.lit("user")})
+    rows, terms = search._counts(docs, queries.QUERY)
+    assert "regexp" not in plan(rows) and terms
+    want = {r.ref: r.t for r in docs.select("ref", X.tokens(F.col("text")).alias("t")).collect()}
+    assert all(r["_len"] == len(want[r.ref]) and list(r["_tf"]) == [want[r.ref].count(q) for q in terms] for r in rows.collect())
+
+
+def test_hybrid_counts_bigrams_with_the_terms(spark):
+    docs = corpus(spark)
+    for query in ("licenses the ment", "苹果树", "a b", ""):
+        rows = {r.ref: r["_in"] for r in search._counts(docs, query, tuple(X.query_bigrams(query)))[0].collect()}
+        want = {r.ref: r.score * len(X.query_bigrams(query)) for r in search.fuzzy(docs, query).collect()}
+        assert rows == {k: round(v) for k, v in want.items()}
+        assert search.hybrid(docs, query).count() == len(want)
+
+
 def test_texts_reach_the_count_in_bounded_batches(spark):
     """Long texts don't make a batch of ten thousand of them: what Python holds at once is bounded by bytes."""
 

@@ -1,13 +1,12 @@
 """Ranked retrieval over documents (doc_ord, ref, kind, role, title, text).
 
 One query is one pass over the texts: a document's length and its counts of the query's terms come out of
-a projection, so no postings are shuffled; corpus statistics are one row, joined back as such.
+one function of its text, so no postings are shuffled; corpus statistics are one row, joined back as such.
 For many queries over one corpus, :func:`postings` is the index; for many corpora, :func:`search_many`.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import cosine, occurrences
-from threadloom.functions.text import CJK, LONGER, cjk_tokens, n_tokens, preview, query_bigrams, query_tokens, stems, term_counts, tokens
+from threadloom.functions.text import n_tokens, preview, query_bigrams, query_tokens, term_counts, tokens
 from threadloom.sources import grouped
 from threadloom.sources.tables import store_root, written
 
@@ -100,28 +99,13 @@ def search_many(docs: DataFrame, asked: DataFrame, k: int = 10, least: float = 0
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("conv_id", "query_id", "rank", "ref", "score")
 
 
-def _counts(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
-    """Docs without their texts, with ``_len`` and ``_tf``, the counts of the query's terms.
-
-    A stem keeps all of its word but the ending, so a compiled pattern takes out the words that begin like
-    a term, and only these are stemmed.  A run of word signs is one word from its first letter on.
-    """
+def _counts(docs: DataFrame, query: str, grams: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Docs without their texts, with ``_len``, ``_tf``, the counts of the query's terms, and ``_in``, how many of
+    ``grams`` a text has."""
     terms = query_tokens(query)
-    heads = sorted({q[:-1] for q in terms if re.match("[a-z]", q)})
-    low = F.lower(F.coalesce("text", F.lit("")))
-    cjk = F.when(F.col("text").rlike(CJK), cjk_tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    like = F.array().cast("array<string>")
-    if heads:
-        begin = "|".join(h if h else "[a-z]" for h in heads)
-        like = F.transform(F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9_])[0-9_]*+((?:{begin})[a-z0-9_]*)"), F.lit(1)), lambda w: F.regexp_replace(w, "_+$", ""))
-    rows = docs.withColumns({"_c": cjk, "_n": F.regexp_count(low, F.lit(LONGER)), "_w": like})
-    rows = rows.withColumn("_t", F.concat(stems(F.filter("_w", lambda w: F.length(w) >= 2)), "_c"))
-    tf = F.array(*[F.size(F.filter("_t", _equal(q))) for q in terms]).cast("array<int>")
-    return rows.withColumns({"_len": F.col("_n") + F.size("_c"), "_tf": tf}).drop("_n", "_w", "_c", "_t", "text", "title"), terms
-
-
-def _equal(q: str):
-    return lambda w: w == q
+    rows = docs.withColumn("_found", term_counts(F.col("text"), terms, grams))
+    times = [F.coalesce(F.get("_found.tf", F.array_position("_found.terms", F.lit(q)).cast("int") - 1), F.lit(0)) for q in terms]
+    return rows.withColumns({"_len": F.col("_found.len"), "_tf": F.array(*times).cast("array<int>"), "_in": F.col("_found.parts")}).drop("_found", "text", "title"), terms
 
 
 def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -137,7 +121,7 @@ def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, query: str) -> DataFrame:
     """Every column but the texts, with ``score``."""
     rows, terms = _counts(docs, query)
-    return (_bm25(written(rows, "scores"), terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
+    return (_bm25(written(rows, "scores"), terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf", "_in")
 
 
 def _overlap(query: str) -> Column:
@@ -161,9 +145,10 @@ def substring(docs: DataFrame, query: str) -> DataFrame:
 
 def hybrid(docs: DataFrame, query: str, weight: float = 0.7) -> DataFrame:
     """Every column but the texts, with ``score``: both scores over their maxima."""
-    rows, terms = _counts(docs.withColumn("_fz", F.coalesce(_overlap(query), F.lit(0.0))), query)
-    rows = written(rows, "scores")
-    rows = (_bm25(rows, terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf")
+    grams = query_bigrams(query)  # their share is fuzzy's score
+    rows, terms = _counts(docs, query, tuple(grams))
+    rows = written(rows.withColumn("_fz", F.col("_in") / F.lit(max(1, len(grams)))), "scores")
+    rows = (_bm25(rows, terms) if terms else rows.withColumn("score", F.lit(0.0))).drop("_len", "_tf", "_in")
     top = rows.agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("_b"), F.greatest(F.max("_fz"), F.lit(1e-9)).alias("_f"))
     rows = rows.crossJoin(F.broadcast(top))
     return rows.withColumn("score", weight * F.col("score") / F.col("_b") + (1 - weight) * F.col("_fz") / F.col("_f")).drop("_b", "_f", "_fz")
