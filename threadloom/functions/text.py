@@ -1,4 +1,4 @@
-"""Tokens, stems and bigrams of search texts as Column expressions."""
+"""Tokens, stems and bigrams of search texts as Column expressions; whole texts are counted in one Arrow function."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterable, Set
 from itertools import filterfalse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The word pattern and the ranges that count as CJK in search.
@@ -65,14 +65,6 @@ def stems(words: Column) -> Column:
     return F.transform(out, lambda s: s["w"])
 
 
-def stem_rows(rows: DataFrame, column: str) -> DataFrame:
-    """A column of one word a row stemmed: a projection for each stage, all compiled."""
-    rows = rows.withColumn("_long", F.length(column) > 3)
-    for stage in _STAGES:
-        rows = rows.withColumn(column, F.when(F.col("_long"), stage(F.col(column))).otherwise(F.col(column)))
-    return rows.drop("_long")
-
-
 def stem(word: Column) -> Column:
     return stems(F.array(word))[0]
 
@@ -107,7 +99,7 @@ def bigrams(text: Column) -> Column:
 
 
 def stem_word(w: str) -> str:
-    """The same rules for one word of a query, in the driver."""
+    """The same rules for one word, in Python."""
     if len(w) <= 3:
         return w
     for ending, n, add in (("ies", 3, "y"), ("ses", 2, ""), ("xes", 2, ""), ("zes", 2, ""), ("ches", 2, ""), ("shes", 2, ""), ("s", 1, "")):
